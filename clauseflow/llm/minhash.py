@@ -17,14 +17,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOT_BITS = 16
 SEED = 20240607
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
-BUCKET_RECORDS = 1_000_000
+BUCKET_RECORDS = 2_000_000
+#: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
+HASH_BITS = 28
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class Plan:
     bands: int = 60
     rows: int = 5
     limit: float = 0.6
-    sketch_words: int = 3  # of 64 one-bit coordinates
+    sketch_words: int = 4  # of 64 one-bit coordinates
     slack: float = 4.0  # standard deviations that a sketch may fall below the limit
 
     @property
@@ -52,7 +54,7 @@ class Plan:
 
 def normalized(text):
     """Lower case, ё as е, runs of other characters than letters and digits as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+", " "))
 
 
 def _table(coords: int) -> np.ndarray:
@@ -112,59 +114,89 @@ def _sketch(sig: np.ndarray, plan: Plan) -> np.ndarray:
     return np.ascontiguousarray(bits).view(np.uint64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting machine words is faster than hashing them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _gaps(low: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes as 16-bit differences; longer ones are bridged by records of no text (row 0xFFFF)."""
+    gap = np.diff(low.astype(np.int64), prepend=0)
+    bridge = gap // 0xFFFF
+    at = np.cumsum(bridge + 1) - 1
+    gaps, rows = np.full(int(bridge.sum()) + len(low), 0xFFFF, np.uint16), np.full(int(bridge.sum()) + len(low), 0xFFFF, np.uint16)
+    gaps[at] = gap % 0xFFFF
+    rows[at] = row
+    return gaps, rows
+
+
 def _pack(plan: Plan, buckets: int):
     def run(batches):
-        for pdf in batches:
-            pdf = pdf.drop_duplicates("key")
-            for at in range(0, len(pdf), 1 << 14):
-                part = pdf.iloc[at : at + (1 << 14)]
-                sig = signatures(part["t"].tolist(), plan)
-                key, sketch, h = part["key"].to_numpy(np.int64), _sketch(sig, plan), _bands(sig, plan)
+        for batch in batches:
+            keys, texts = batch.column("key").to_numpy(), batch.column("t")
+            first = np.unique(keys, return_index=True)[1]
+            for at in range(0, len(first), 1 << 14):
+                part = np.sort(first[at : at + (1 << 14)])
+                sig = signatures(texts.take(pa.array(part)).to_pylist(), plan)
+                key, sketch, h = keys[part], _sketch(sig, plan), _bands(sig, plan).ravel()
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                flat = np.argsort(bucket.ravel(), kind="stable")
-                row = (flat // plan.bands).astype(np.uint16)
-                low = h.ravel()[flat].astype(np.uint32)
-                cuts = np.searchsorted(bucket.ravel()[flat], np.arange(buckets + 1))
-                ids, blobs = [], []
+                low = h & np.uint64((1 << HASH_BITS) - 1)
+                row = np.repeat(np.arange(len(part), dtype=np.uint64), plan.bands)
+                rec = np.sort((bucket << np.uint64(HASH_BITS + 14)) | (low << np.uint64(14)) | row)
+                cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 14))
+                low = (rec >> np.uint64(14)) & np.uint64((1 << HASH_BITS) - 1)
+                row = (rec & np.uint64((1 << 14) - 1)).astype(np.int64)
+                ids, blocks = [], []
                 for b in range(buckets):
                     r, x = row[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]]
                     if len(r):
-                        used, r = np.unique(r, return_inverse=True)
-                        head = np.array([len(used), len(r)], np.int64)
+                        there = np.zeros(len(part), bool)
+                        there[r] = True
+                        gaps, r = _gaps(x, (np.cumsum(there) - 1)[r])
+                        head = np.array([there.sum(), len(r)], np.int64)
                         ids.append(b)
-                        blobs.append(b"".join(y.tobytes() for y in (head, key[used], sketch[used], x, r.astype(np.uint16))))
-                yield pd.DataFrame({"bucket": pd.Series(ids, dtype="int32"), "block": blobs})
+                        blocks.append(b"".join(y.tobytes() for y in (head, key[there], sketch[there], gaps, r)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
 
 
-def _unpack(blob: bytes, words: int):
-    n, m = np.frombuffer(blob, np.int64, 2)
+def _unpack(block: bytes, words: int):
+    n, m = np.frombuffer(block, np.int64, 2)
     at = 16
-    key = np.frombuffer(blob, np.int64, n, at)
+    key = np.frombuffer(block, np.int64, n, at)
     at += 8 * n
-    sketch = np.frombuffer(blob, np.uint64, n * words, at).reshape(n, words)
+    sketch = np.frombuffer(block, np.uint64, n * words, at).reshape(n, words)
     at += 8 * n * words
-    return key, sketch, np.frombuffer(blob, np.uint32, m, at), np.frombuffer(blob, np.uint16, m, at + 4 * m)
+    low, row = np.cumsum(np.frombuffer(block, np.uint16, m, at), dtype=np.uint64), np.frombuffer(block, np.uint16, m, at + 2 * m)
+    real = row != 0xFFFF
+    return key, sketch, low[real], row[real]
 
 
 def _compare(plan: Plan):
+    most = plan.most_apart
+
     def near(sketch, a, b):
         apart = np.zeros(len(a), np.int64)
         for w in range(plan.sketch_words):
             apart += np.bitwise_count(sketch[a, w] ^ sketch[b, w])
-        return apart <= plan.most_apart
+        return apart <= most
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         keys, sketches, hashes, docs, base = [], [], [], [], 0
-        for blob in pdf["block"]:
-            k, s, x, r = _unpack(blob, plan.sketch_words)
+        for block in table.column("block"):
+            k, s, x, r = _unpack(block.as_py(), plan.sketch_words)
             keys.append(k), sketches.append(s), hashes.append(x), docs.append(r.astype(np.int64) + base)
             base += len(k)
-        key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        sketch = np.concatenate(sketches)[first]
-        rec = np.unique((np.concatenate(hashes).astype(np.uint64) << np.uint64(32)) | back[np.concatenate(docs)].astype(np.uint64))
-        h, doc = (rec >> np.uint64(32)).astype(np.uint32), (rec & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(new) - 1
+        key, sketch = keys[order[new]], np.concatenate(sketches)[order[new]]
+        rec = _distinct((np.concatenate(hashes) << np.uint64(32)) | back[np.concatenate(docs)].astype(np.uint64))
+        h, doc = rec >> np.uint64(32), (rec & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[start, len(h)])
         # place of the last record of each record's group: partners at distance d exist up to there
@@ -181,12 +213,12 @@ def _compare(plan: Plan):
                 found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
                 held += len(a)
             if held > 1 << 21:
-                found = [np.unique(np.concatenate(found))]
+                found = [_distinct(np.concatenate(found))]
                 held = 0
             d += 1
-        pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+        pair = _distinct(np.concatenate(found)) if found else np.empty(0, np.uint64)
         a, b = key[(pair >> np.uint64(32)).astype(np.int64)], key[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -195,26 +227,60 @@ def candidate_pairs(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """texts: (key BIGINT, t STRING), equal texts under one key. Gives (a, b), a < b: pairs of keys worth verifying."""
     rows = texts.count()
     buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
-    blocks = texts.mapInPandas(_pack(plan, buckets), "bucket int, block binary")
-    return blocks.groupBy("bucket").applyInPandas(_compare(plan), "a long, b long").distinct()
+    blocks = texts.mapInArrow(_pack(plan, buckets), "bucket int, block binary")
+    return blocks.groupBy("bucket").applyInArrow(_compare(plan), "a long, b long").distinct()
 
 
-def _verify(n: int):
-    def grams(t: str) -> frozenset:
-        return frozenset(t[i : i + n] for i in range(len(t) - n + 1)) or frozenset([t])
+def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of each text as numbers: all of them one after another, where each text's begin, and how many."""
+    texts = [t if len(t) >= n else t.ljust(n, "\0") for t in texts]
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    used = np.zeros(int(code.max()) + 1, bool)
+    used[code] = True
+    dense = (np.cumsum(used) - 1)[code].astype(np.uint64)
+    width = np.uint64(int(dense.max()).bit_length() or 1)
+    of = np.repeat(np.arange(len(texts)), lens)
+    gram = np.zeros(len(code) - n + 1, np.uint64)
+    for i in range(n):  # exact: after each character the numbers are made dense again where they outgrow a word
+        if i and int(gram.max()).bit_length() + int(width) > 63:
+            gram = np.searchsorted(_distinct(gram), gram).astype(np.uint64)
+        gram = (gram << width) | dense[i : len(code) - n + 1 + i]
+    gram = gram[of[: len(gram)] == of[n - 1 :]]
+    gram = np.searchsorted(_distinct(gram), gram).astype(np.uint64)
+    own = _distinct((np.repeat(np.arange(len(texts), dtype=np.uint64), lens - n + 1) << np.uint64(32)) | gram)
+    count = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    return own & np.uint64(0xFFFFFFFF), np.cumsum(count) - count, count
+
+
+def _slices(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+
+
+def jaccard(left: list[str], right: list[str], n: int) -> np.ndarray:
+    """Exact Jaccard similarity of the distinct n-grams of each pair of texts."""
+    place: dict[str, int] = {}
+    a = np.fromiter((place.setdefault(t, len(place)) for t in left), np.int64, len(left))
+    b = np.fromiter((place.setdefault(t, len(place)) for t in right), np.int64, len(right))
+    if not len(a):
+        return np.empty(0)
+    gram, start, count = _grams(list(place), n)
+    both = np.empty(len(a), np.int64)
+    step = 4096
+    for c in range(0, len(a), step):
+        x, y = a[c : c + step], b[c : c + step]
+        pair = np.arange(len(x), dtype=np.uint64) << np.uint64(32)
+        z = np.sort(np.concatenate([np.repeat(pair, count[v]) | gram[_slices(start[v], count[v])] for v in (x, y)]))
+        same = z[1:][z[1:] == z[:-1]] >> np.uint64(32)
+        both[c : c + step] = np.bincount(same.astype(np.int64), minlength=len(x))
+    return both / (count[a] + count[b] - both)
 
+
+def _verify(n: int):
     def run(batches):
-        for pdf in batches:
-            known: dict[str, frozenset] = {}
-            out = []
-            for x, y in zip(pdf["ta"], pdf["tb"]):
-                for t in (x, y):
-                    if t not in known:
-                        known[t] = grams(t)
-                p, q = known[x], known[y]
-                both = len(p & q)
-                out.append(both / (len(p) + len(q) - both))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
+        for x in batches:
+            s = jaccard(x.column("ta").to_pylist(), x.column("tb").to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     return run
 
@@ -228,7 +294,7 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
         .join(reps.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
-    return both.mapInPandas(_verify(plan.n), "a long, b long, similarity double").filter(F.col("similarity") >= plan.limit)
+    return both.mapInArrow(_verify(plan.n), "a long, b long, similarity double").filter(F.col("similarity") >= plan.limit)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

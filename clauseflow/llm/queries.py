@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseflow.llm import components, minhash
+from clauseflow.llm import components, leakage, minhash, packing, textform
 from clauseflow.sources.tables import table
 
 
@@ -18,7 +18,38 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("member_id").alias("function_id"), "group_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    citations = table(spark, sf_dir, "citations").select("citation_id", "clause_id", "quote")
+    return textform.lookalike_quotes(citations, table(spark, sf_dir, "clauses").select("id", "text"))
+
+
+def p5_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clause text in its one form."""
+    clauses = table(spark, sf_dir, "clauses").select("id", "text").distinct()
+    out = textform.canonicalize(clauses, "text")
+    return out.select("id", "canonical", (F.col("canonical") != F.col("text")).alias("changed"))
+
+
+def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "containers"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the packs are."""
+    return packing.pack_fill(p6_packs(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with the longest run of words in common."""
+    leaks = leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+    return leaks.select("doc_id", "item_id", "run_words", F.round("score", 3).alias("score"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report}
 
 ORACLE = {
     "p2_found": r"""
@@ -38,4 +69,10 @@ ORACLE = {
         s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
         walk(id, low) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, walk.low FROM walk JOIN s ON s.u = walk.id WHERE walk.low < s.v)
         SELECT id AS function_id, min(low) AS group_id FROM walk GROUP BY id""",
+    "p7_found": r"""
+        WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        v AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS v FROM eval_items WHERE text IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, array_to_string(v[CAST(k AS BIGINT):CAST(k AS BIGINT) + 12], ' ') AS run FROM v, unnest(range(1, len(v) - 11)) AS u(k)),
+        d AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(k AS BIGINT):CAST(k AS BIGINT) + 12], ' ') AS run FROM w, unnest(range(1, len(w) - 11)) AS u(k))
+        SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
 }
