@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SLOT_BITS = 16
 SEED = 20240607
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
-BUCKET_RECORDS = 2_000_000
+BUCKET_RECORDS = 3_000_000
 #: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
 HASH_BITS = 28
 
@@ -223,9 +223,12 @@ def _compare(plan: Plan):
     return run
 
 
-def candidate_pairs(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """texts: (key BIGINT, t STRING), equal texts under one key. Gives (a, b), a < b: pairs of keys worth verifying."""
-    rows = texts.count()
+def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None) -> DataFrame:
+    """texts: (key BIGINT, t STRING), equal texts under one key. Gives (a, b), a < b: pairs of keys worth verifying.
+
+    rows: about how many texts there are, where a count is at hand; it only sets the number of buckets.
+    """
+    rows = texts.count() if rows is None else rows
     buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
     blocks = texts.mapInArrow(_pack(plan, buckets), "bucket int, block binary")
     return blocks.groupBy("bucket").applyInArrow(_compare(plan), "a long, b long").distinct()
@@ -285,9 +288,9 @@ def _verify(n: int):
     return run
 
 
-def similar_texts(texts: DataFrame, plan: Plan = Plan()) -> DataFrame:
+def similar_texts(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None) -> DataFrame:
     """(a, b, similarity) of the pairs of different normalised texts with Jaccard similarity >= plan.limit."""
-    pairs = candidate_pairs(texts, plan)
+    pairs = candidate_pairs(texts, plan, rows)
     reps = texts.groupBy("key").agg(F.first("t").alias("t"))
     both = (
         pairs.join(reps.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
@@ -310,7 +313,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "tex
     a text shorter than n characters is its own only n-gram; texts are compared whole, however long.
     """
     rows = keyed(df, id_col, text_col)
-    similar = similar_texts(rows.select("key", "t"), plan)
+    similar = similar_texts(rows.select("key", "t"), plan, df.count())
     member = rows.select("key", "id").distinct()
     same = member.join(member.select("key", F.col("id").alias("id2")), "key").filter("id < id2").select(F.col("id").alias("function_a"), F.col("id2").alias("function_b"))
     a = member.select(F.col("key").alias("a"), F.col("id").alias("x"))

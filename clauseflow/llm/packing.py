@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published splitting pattern of that family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_ITEMS = 20_000
-WINDOW = 200
+WINDOW = 1000
 
 _encoders: dict[str, object] = {}
 
@@ -65,7 +65,7 @@ def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> np.ndarray:
     left = dict(zip(lengths, counts))
     number = 0
     while lengths:
-        take = [(lengths[-1], 1)]
+        take = {lengths[-1]: 1}
         room = capacity - lengths[-1]
         left[lengths[-1]] -= 1
         mask = (1 << (room + 1)) - 1
@@ -92,13 +92,13 @@ def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> np.ndarray:
             while not (before >> (best - c * n)) & 1:
                 c += 1
             if c:
-                take.append((n, c))
+                take[n] = take.get(n, 0) + c
                 left[n] -= c
                 best -= c * n
-        for n, c in take:
+        for n, c in take.items():
             pack[order[at[n] : at[n] + c]] = number
             at[n] += c
-            if not left[n] and n in left:
+            if not left[n]:
                 del left[n]
                 lengths.pop(bisect_right(lengths, n) - 1)
         number += 1
