@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseflow.llm import components, leakage, minhash, packing, textform
+from clauseflow.llm import components, leakage, minhash, packing, pii, textform
 from clauseflow.sources.tables import table
 
 
@@ -49,7 +49,16 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "run_words", F.round("score", 3).alias("score"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders."""
+    return pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
 
 ORACLE = {
     "p2_found": r"""
