@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseflow.llm import components, leakage, minhash, packing, pii, textform
+from clauseflow.llm import components, leakage, minhash, names, packing, pii, textform
 from clauseflow.sources.tables import table
 
 
@@ -18,6 +18,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("member_id").alias("function_id"), "group_id")
 
 
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "units").select(F.lit("unit").alias("origin"), F.col("id").alias("record_id"), F.col("name").alias("spelling"))
+    functions = table(spark, sf_dir, "org_functions").select(F.lit("function").alias("origin"), F.col("id").alias("record_id"), F.col("executor").alias("spelling"))
+    return units.unionByName(functions)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(_spellings(spark, sf_dir), table(spark, sf_dir, "registry"))
+
+
+def p4_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct spelling that was linked, its entity's official name, and the records that have it."""
+    records = _spellings(spark, sf_dir).distinct()
+    used = records.filter("spelling IS NOT NULL").groupBy("spelling").agg(F.count("*").alias("n_records"))
+    return names.match_spellings(used, table(spark, sf_dir, "registry")).join(used, "spelling")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     citations = table(spark, sf_dir, "citations").select("citation_id", "clause_id", "quote")
     return textform.lookalike_quotes(citations, table(spark, sf_dir, "clauses").select("id", "text"))
@@ -58,7 +75,7 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
 
 ORACLE = {
     "p2_found": r"""
