@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,6 +61,14 @@ def stem(word: Column, endings: list[str] = L.ENDINGS, least: int = 4) -> Column
     return F.when(F.length(word) <= 5, word).otherwise(F.regexp_replace(bare, rf"^(.{{{least},}}?)(?:{ends})$", "$1"))
 
 
+def stem_of(word: str, endings: list[str] = L.ENDINGS, least: int = 4) -> str:
+    """`stem` of one word on the driver, for constants."""
+    if len(word) <= 5:
+        return word
+    word = re.sub(rf"^(.{{{least},}})(?:ся|сь)$", r"\1", word)
+    return re.sub(rf"^(.{{{least},}}?)(?:{'|'.join(sorted(endings, key=len, reverse=True))})$", r"\1", word)
+
+
 def tokens(text, stop: list[str] = L.STOP_WORDS) -> Column:
     """Tokens for retrieval: numbers and abbreviations as they are, stop words and single letters left out, the rest stemmed."""
     raw = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"\d+(?:\.\d+)*\.?|[A-Za-zА-Яа-яЁё0-9]+"), F.lit(0))
@@ -120,8 +129,8 @@ def strip_templates(text) -> Column:
 
 def is_template_for_retrieval(text) -> Column:
     """Fewer than two tokens are left once templates and general words are gone."""
-    general = F.array_distinct(tokens(F.lit(" ".join(L.GENERIC_WORDS))))
-    return F.size(F.filter(tokens(strip_templates(text)), lambda t: ~F.array_contains(general, t))) < 2
+    general = sorted({stem_of(w) for w in L.GENERIC_WORDS})
+    return F.size(F.filter(tokens(strip_templates(text)), lambda t: ~t.isin(general))) < 2
 
 
 def is_template_for_duplicates(text) -> Column:

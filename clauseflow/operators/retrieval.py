@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseflow.functions import text as T
+from clauseflow.session import Shelf
 
 K1, B = 1.5, 0.75
 TOP_K, POOL, RRF_K = 5, 20, 60
@@ -23,10 +24,14 @@ def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def bm25_index(docs: DataFrame, id_col: str, tokens: Column, k1: float = K1, b: float = B) -> DataFrame:
-    """Postings (term, id, weight). Documents without tokens count in the number of documents and the mean length."""
-    n, mean = docs.filter(F.col(id_col).isNotNull()).agg(F.count("*"), F.avg(F.size(tokens))).first()  # two numbers
-    mean = mean or 1.0
-    counts = term_counts(docs, id_col, tokens)
+    """Postings (term, id, weight). Documents without tokens count in the number of documents and the mean length.
+
+    Texts are read and cut into tokens once; counts by document and term are written and used for all statistics.
+    """
+    n = docs.filter(F.col(id_col).isNotNull()).count()
+    counts = Shelf(docs.sparkSession, "bm25").put(term_counts(docs, id_col, tokens))
+    total = counts.agg(F.sum("tf")).first()[0] or 0
+    mean = total / n if total else 1.0
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
@@ -63,13 +68,6 @@ def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = POOL) -> DataFram
     return top(scored, k, [F.desc("cosine"), F.asc("id")])
 
 
-def exact_pool(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query, id): equal normalised texts; an empty key matches nothing."""
-    q = queries.select("query", T.normalize_text("text").alias("key")).filter("key <> ''")
-    c = corpus.select("id", T.normalize_text("text").alias("key"))
-    return q.join(c, "key").select("query", "id")
-
-
 def fuse(pools: dict[str, DataFrame], exact: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
     """(query, id, score, reasons, rank): exact matches first with score +inf, then the sum of 1/(rrf_k + rank) over the pools."""
     parts = None
@@ -90,24 +88,27 @@ def rank_candidates(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, pool:
     queries and corpus: id, text, signature, unit_id. other_unit: only rows of another, known unit are candidates,
     and never the row itself. Returns (query, id, score, reasons, rank).
     """
-    q = queries.select(F.col("id").alias("query"), "text", "signature", F.col("unit_id").alias("query_unit"))
-    unit = corpus.select("id", F.col("unit_id").alias("id_unit"))
-    q_unit = q.select("query", "query_unit")
+    shelf = Shelf(corpus.sparkSession, "candidates")
+
+    def prepared(df: DataFrame) -> DataFrame:  # each text is normalised and cut into tokens once
+        return shelf.put(df.select("id", F.col("unit_id").alias("unit"), T.normalize_text("text").alias("key"), T.usable_signature("signature").alias("sig"), T.tokens("text").alias("t")).filter("id IS NOT NULL"))
+
+    c, q = prepared(corpus), prepared(queries).withColumnsRenamed({"id": "query", "unit": "query_unit"})
+    pair = ["query", "id"]
 
     def allowed(x: DataFrame) -> DataFrame:
-        if not other_unit:
-            return x
-        x = x.join(unit, "id").join(q_unit, "query")
-        return x.filter("query_unit <> id_unit AND query <> id").drop("query_unit", "id_unit")
-
-    exact = allowed(exact_pool(q, corpus))
-    index = bm25_index(corpus, "id", T.tokens("text"))
-    scores = allowed(bm25_scores(q, "query", T.tokens("text"), index))
-    rest = scores.join(exact, ["query", "id"], "left_anti")
+        return x.filter("query_unit <> unit AND query <> id") if other_unit else x
+
+    exact = allowed(q.filter("key <> ''").select("query", "query_unit", "key").join(c.select("id", "unit", "key"), "key")).select(*pair)
+    index = bm25_index(c, "id", F.col("t"))
+    if other_unit:
+        index = index.join(c.select("id", "unit"), "id")
+    terms = q.select("query", "query_unit", F.explode(F.array_distinct("t")).alias("term"))
+    scores = shelf.put(allowed(terms.join(index, "term")).groupBy(*pair).agg(F.round(F.sum("weight"), 9).alias("score")))
+    rest = scores.join(exact, pair, "left_anti")
     lexical = top(rest.filter("score > 0"), pool, [F.desc("score"), F.asc("id")])
-    sig = q.select("query", T.usable_signature("signature").alias("s")).filter("s IS NOT NULL")
-    same = allowed(sig.join(corpus.select("id", T.usable_signature("signature").alias("s")), "s").select("query", "id")).join(exact, ["query", "id"], "left_anti")
-    same = same.join(rest, ["query", "id"], "left").select("query", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    same = allowed(q.select("query", "query_unit", "sig").join(c.select("id", "unit", "sig"), "sig")).select(*pair).join(exact, pair, "left_anti")
+    same = same.join(rest, pair, "left").select(*pair, F.coalesce("score", F.lit(0.0)).alias("score"))
     signature = top(same, pool, [F.desc("score"), F.asc("id")])
     return fuse({"lexical": lexical, "signature": signature}, exact, k)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clauseflow.functions import text as T
 from clauseflow.operators import clauses as C
 from clauseflow.operators import graph, hierarchy, matching, provenance, report, retrieval, units
+from clauseflow.session import Shelf
 from clauseflow.sources import docx
 from clauseflow.sources.tables import table
 from clauseflow.streaming import arrivals
@@ -170,7 +171,7 @@ def json_props(spark, d):
 @query
 def bm25_topk(spark, d):
     """Every evaluation item against all documents."""
-    index = retrieval.bm25_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", T.tokens("text"))
+    index = retrieval.bm25_index(table(spark, d, "documents", "doc_id", "text"), "doc_id", T.tokens("text"))
     out = retrieval.bm25_top(table(spark, d, "eval_items"), "item_id", T.tokens("text"), index)
     return out.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
@@ -230,7 +231,7 @@ def reverse_augment(spark, d):
 def dup_pairs_cross_unit(spark, d):
     """Duplicate candidates of the asked functions among functions of other units, without templates, as canonical pairs."""
     f = functions(spark, d).filter("modality <> 'prohibition' AND unit_id IS NOT NULL").filter(~T.is_template_for_retrieval("text"))
-    f = f.select("id", F.concat_ws(" ", T.strip_templates("text")).alias("text"), "signature", "unit_id", "version")
+    f = Shelf(spark, "duplicates").put(f.select("id", T.strip_templates("text").alias("text"), "signature", "unit_id", "version"))
     out = None
     for v in ("before", "after"):
         own = f.filter(F.col("version") == v)

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data folder; a table may be one file or a folder of files."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The table `name` of a data folder; a table may be one file or a folder of files.
+
+    With columns, only those are read, and a table of fewer parts than there are cores is spread over them: for
+    work that costs far more than moving the rows. Large tables come in many parts and are not moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not columns:
+        return df
+    df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
