@@ -10,7 +10,7 @@ from clauseflow.sources.tables import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_pairs(table(spark, sf_dir, "org_functions").select("id", "text"))
+    return minhash.near_duplicate_pairs(table(spark, sf_dir, "org_functions", "id", "text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p5_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "containers"))
+    return packing.pack_texts(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "containers"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +62,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks with the longest run of words in common."""
-    leaks = leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+    leaks = leakage.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
     return leaks.select("doc_id", "item_id", "run_words", F.round("score", 3).alias("score"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with placeholders."""
-    return pii.masked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.masked(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
