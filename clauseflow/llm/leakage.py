@@ -18,6 +18,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RUN = 13
 PASSAGE = 2 * RUN - 1
@@ -159,4 +160,4 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     for a in range(0, max(len(todo), 1), MAX_ITEMS):
         part = docs.mapInPandas(_searcher(Index(todo[a : a + MAX_ITEMS], run)), "doc_id long, item_id long, run_words long, score double")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg({"run_words": "max", "score": "max"}).toDF("doc_id", "item_id", "run_words", "score")
+    return out.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("score").alias("score"))

@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseflow.operators.graph import propagate_min
+from clauseflow.session import Shelf
+
 SLOT_BITS = 16
 SEED = 20240607
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
@@ -320,3 +323,22 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "tex
     b = member.select(F.col("key").alias("b"), F.col("id").alias("y"))
     cross = similar.join(a, "a").join(b, "b").select(F.least("x", "y").alias("function_a"), F.greatest("x", "y").alias("function_b"))
     return cross.unionByName(same).filter("function_a <> function_b").distinct()
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
+    """(function_id, group_id, n_links): each id with the smallest id that near-duplicate texts tie it to, and how many other texts its own is close to.
+
+    Groups are made between distinct texts and then given to all rows that have them; copies are not paired up. An id whose
+    text is null or without letters and digits is alone.
+    """
+    rows = keyed(df, id_col, text_col)
+    shelf = Shelf(df.sparkSession, "near-groups")
+    links = shelf.put(similar_texts(rows.select("key", "t"), plan, df.count()).select("a", "b"))
+    labels = propagate_min(links.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf)
+    n = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    member = shelf.put(rows.select("key", "id").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left").join(n, "key", "left"))
+    member = member.select("id", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    low = member.groupBy("label").agg(F.min("id").alias("group_id"))
+    of = member.join(low, "label").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"))
+    every = df.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().join(of, "id", "left")
+    return every.select(F.col("id").alias("function_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

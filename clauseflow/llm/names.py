@@ -162,12 +162,15 @@ class Names:
     def unit(self, text: str) -> dict[int, float]:
         """Entities that a unit's spelling may mean, with costs."""
         t = _FIRM.sub(" ", text)
-        tokens = [x for x in _WORDS.findall(fold(t)) if x.rstrip(".") not in ("и", "")]
+        tokens = _WORDS.findall(fold(t))
         out: dict[int, float] = {}
+        letters = "".join(x.rstrip(".") for x in tokens)
+        if len(tokens) > 2 and all(len(x.rstrip(".")) == 1 for x in tokens):
+            return {i: 0.5 for i in self.acronym.get(letters, ())}
+        tokens = [x for x in tokens if x != "и"]
         if not tokens:
             return out
-        letters = "".join(x.rstrip(".") for x in tokens)
-        if len(tokens) == 1 and 3 <= len(letters) <= 6 and "-" not in letters or len(tokens) > 2 and all(len(x.rstrip(".")) == 1 for x in tokens):
+        if len(tokens) == 1 and 3 <= len(letters) <= 6 and "-" not in letters:
             return {i: 0.5 for i in self.acronym.get(letters, ())}
         if len(tokens) == 2 and 2 <= len(tokens[1].rstrip(".")) <= 5:
             for w, c in self._word(tokens[0]):

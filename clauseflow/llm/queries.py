@@ -13,6 +13,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_pairs(table(spark, sf_dir, "org_functions", "id", "text"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each function's group of near-duplicates."""
+    return minhash.near_duplicate_groups(table(spark, sf_dir, "org_functions", "id", "text"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = components.link_groups(table(spark, sf_dir, "links").select("before_id", "after_ids"))
     return groups.select(F.col("member_id").alias("function_id"), "group_id")
@@ -75,7 +80,7 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_spellings": p4_spellings, "p5_found": p5_found, "p5_clauses": p5_clauses, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_masked": p8_masked}
 
 ORACLE = {
     "p2_found": r"""
