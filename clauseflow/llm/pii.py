@@ -84,6 +84,10 @@ Contact {enperson}, phone {enphone} or write to {email}.
 Contact {enperson}, phone {enphone} or write to {enemail}.
 Signed by {enperson}; call {enphone} after hours.
 The file of {enperson} lists {enid}.
+The file of {enperson} lists {enid}. The {e} {e} reviews {e} {e} within {n2} working days.
+{enperson} gave {enid}.
+{email} — ящик для возражений. {Post} контура {w} готовит {d} {d}.
+Замечаний нет. {email} — ящик для возражений.
 Deliver the register to {enaddress}, attention {enperson}.
 Send the parcel to {enaddress}.
 Questions go to {email}.
@@ -534,6 +538,10 @@ def find(texts: list[str], model: Field) -> list[list[tuple[int, int, str]]]:
 
 
 _EMAIL = re.compile(r"[\w.+-]+\s?(?:@|＠|\(\s?\w+\s?\)|\[\s?\w+\s?\]| at | собака )\s?[\w-]+(?:(?:\.| ?[(\[](?:dot|точка)[)\]] ?)[\w-]+)+")
+# Parts of which an address has at least one.
+_ADDRESS_PART = re.compile(r"(?i)(?<!\w)(?:ул|улица|пер|переулок|пр|просп|проспект|шоссе|наб|набережная|пл|площадь|бульвар|д|дом|кв|квартира|flat|apt|street|st|road|rd|lane|avenue|ave|drive|square|court)(?!\w)")
+_DIGITS_BEFORE = re.compile(r"(?<![\w.,-])(?:\d+(?:\s?№)?[ -])+$")  # the first groups of the same number
+_INITIAL_BEFORE = re.compile(r"(?<!\w)[A-ZА-ЯЁ]\.\s?$")
 _BARE_LETTER = re.compile(r"(?<!\w)\w(?![\w.])")  # an initial has its stop
 _AFTER_NUMBER = re.compile(r"(?i)\b(доб|ext|вн)\b")
 
@@ -544,6 +552,10 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
         a += 1
     while b > a and not (text[b - 1].isalnum() or (kind == "person" and text[b - 1] == "." and b - a > 1 and not text[b - 3 : b - 2].isalpha())):
         b -= 1
+    if kind == "id_number" and (m := _DIGITS_BEFORE.search(text, max(0, a - 24), a)):
+        a = m.start()
+    elif kind == "person" and (m := _INITIAL_BEFORE.search(text, max(0, a - 4), a)):
+        a = m.start()
     value = text[a:b]
     digits = sum(c.isdigit() for c in value)
     ok = True
@@ -557,7 +569,7 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
     elif kind == "id_number":
         ok = digits >= 6
     elif kind == "address":
-        ok = digits >= 1 and any(c.isalpha() for c in value)
+        ok = digits >= 1 and _ADDRESS_PART.search(value) is not None
     else:
         letters = [c for c in value if c.isalpha()]
         ok = digits == 0 and len(letters) >= 3 and not (len(value) > 12 and all(c.isupper() for c in letters)) and not _BARE_LETTER.search(value)
