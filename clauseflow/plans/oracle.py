@@ -308,4 +308,7 @@ ORACLE: dict[str, str] = {
     "source_labels": f"WITH {_Q} SELECT DISTINCT citation_id, doc_name || ' / ' || version || ' / ' || coalesce(clause_number, '-') || ' / ' || quote AS label FROM q WHERE quote IS NOT NULL",
     "late_arrivals": "SELECT strftime(recorded_at, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (loaded_at > recorded_at + INTERVAL 5 DAY) AS late, count(*) FILTER (loaded_at < recorded_at) AS early FROM org_functions WHERE id IS NOT NULL AND recorded_at IS NOT NULL AND loaded_at IS NOT NULL GROUP BY 1",
     "stream_arrivals": "SELECT strftime(recorded_at, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT id, recorded_at FROM org_functions WHERE id IS NOT NULL AND recorded_at IS NOT NULL) GROUP BY 1",
+    "function_scope": rf"""WITH {_C}, r AS (SELECT *, coalesce(regexp_matches(lower(section), 'функци|задач|обязанност|полномочи'), FALSE) AS hit FROM c WHERE number IS NOT NULL AND section IS DISTINCT FROM number || '. ' || text AND regexp_matches(text, '\p{{L}}')),
+        k AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS in_scope FROM r) SELECT doc_id, count(*) AS n_clauses, count(DISTINCT section) AS n_sections FROM k WHERE hit OR NOT in_scope GROUP BY doc_id""",
+    "owner_groups": f"WITH {_F}, k AS (SELECT id, coalesce(unit_id, CASE WHEN {_key('executor')} <> '' THEN 'executor:' || {_key('executor')} END) AS owner FROM f) SELECT owner, count(DISTINCT id) AS n_functions FROM k WHERE owner IS NOT NULL GROUP BY owner",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseflow.functions import text as T
 from clauseflow.operators import clauses as C
-from clauseflow.operators import graph, hierarchy, matching, provenance, report, retrieval, units
+from clauseflow.operators import graph, hierarchy, matching, performers, provenance, report, retrieval, units
 from clauseflow.session import Shelf
 from clauseflow.sources import docx
 from clauseflow.sources.tables import table
@@ -383,6 +383,30 @@ def candidate_units(spark, d):
     return units.candidate_units(named.unionByName(executors).withColumn("lead_in", F.lit(None).cast("string")))
 
 
+# -- performers and actions
+
+
+@query
+def inherited_executors(spark, d):
+    return performers.inherited_executors(clause_rows(spark, d))
+
+
+@query
+def function_scope(spark, d):
+    return performers.clauses_in_scope(clause_rows(spark, d), "функци|задач|обязанност|полномочи").groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.count_distinct("section").alias("n_sections"))
+
+
+@query
+def owner_groups(spark, d):
+    return performers.owner_groups(functions(spark, d)).groupBy("owner").agg(F.count_distinct("id").alias("n_functions"))
+
+
+@query
+def action_parse(spark, d):
+    a = functions(spark, d).withColumn("a", performers.action("text", "executor"))
+    return a.select("id", *[F.array_join(f"a.{c}", " ").alias(c) for c in ("aux", "verbs", "object")])
+
+
 # -- clauses
 
 
