@@ -56,16 +56,21 @@ def bm25_top(queries: DataFrame, query_id: str, query_tokens: Column, index: Dat
     return top(scores, k, [F.desc("score"), F.asc("id")])
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = POOL) -> DataFrame:
+def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = POOL, blocks: int = 64) -> DataFrame:
     """(query, id, cosine, rank): a stated set of query vectors against all rows, both (id, vector).
 
-    The query set is joined in blocks of rows of the corpus; vectors of another dimension match nothing.
+    The corpus falls into `blocks`, and each block meets all queries: no task holds all rows, and what leaves a block is its own first k
+    of each query. Vectors of another dimension match nothing.
     """
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("qv"), T.l2("vector").alias("qn")).filter("query IS NOT NULL AND qv IS NOT NULL")
-    c = corpus.select("id", "vector", T.l2("vector").alias("n")).filter("id IS NOT NULL AND vector IS NOT NULL")
-    pairs = c.join(q, (F.size("vector") == F.size("qv")) & (F.col("id") != F.col("query")))
-    scored = pairs.select("query", "id", F.round(T.dot("qv", "vector") / (F.col("qn") * F.col("n")), 9).alias("cosine"))
-    return top(scored, k, [F.desc("cosine"), F.asc("id")])
+    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("qv"), T.l2("vector").alias("qn"), F.size("vector").alias("dim")).filter("query IS NOT NULL AND qv IS NOT NULL")
+    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    c = corpus.select("id", "vector", T.l2("vector").alias("n"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).filter("id IS NOT NULL AND vector IS NOT NULL")
+    pairs = c.join(q, ["block", "dim"]).filter("id <> query")
+    scored = pairs.select("query", "block", "id", F.round(T.dot("qv", "vector") / (F.col("qn") * F.col("n")), 9).alias("cosine"))
+    order = [F.desc("cosine"), F.asc("id")]
+    w = Window.partitionBy("query", "block").orderBy(*order)
+    first = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r", "block")
+    return top(first, k, order)
 
 
 def fuse(pools: dict[str, DataFrame], exact: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
