@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 RUN = 13
 PASSAGE = 2 * RUN - 1
 BLOCK = 8
-#: Items in one index, which goes to every executor. More items are searched in several passes.
-MAX_ITEMS = 20_000
+#: Items in one index, which goes to every executor (words x items impacts: some 40 MB at most for texts of usual length). More items are searched in several passes.
+MAX_ITEMS = 500
 K1, B = 1.5, 0.75
 _WORD = re.compile(r"[^\W_]+")
 

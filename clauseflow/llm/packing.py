@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_ITEMS = 20_000
 WINDOW = 1000
+#: Kinds of container: a fixed, small list that the plan holds as constants.
+MOST_KINDS = 1000
 
 _encoders: dict[str, object] = {}
 
@@ -122,10 +124,14 @@ def pack_texts(documents: DataFrame, containers: DataFrame, vocabulary: str = VO
     spark = documents.sparkSession
     sizes = Shelf(spark, "packing").put(token_counts(documents, vocabulary=vocabulary))
     kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).filter("container_kind IS NOT NULL AND capacity >= 1").distinct()
+    each = [F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(map(tuple, kinds.limit(MOST_KINDS + 1).collect()))]
+    if len(each) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of container")
+    every = F.array(*each) if each else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     shards = max(1, -(-sizes.count() // shard_items))
     pieces = (
         sizes.distinct()
-        .join(F.broadcast(kinds), F.lit(True))  # a few kinds of container, fixed
+        .select("doc_id", "n_tokens", F.inline(every))
         .withColumn("full", (F.col("n_tokens") / F.col("capacity")).cast("long"))
         .withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))
     )
