@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once: they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_clauseflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="clauseflow-ship-")) / "clauseflow.zip"  # read by the driver only, which serves it
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._clauseflow_shipped = True
+
+
 class Shelf:
     """Tables written to the shared folder. A written table cuts lineage and survives the loss of executors."""
 
