@@ -7,6 +7,8 @@ limit, which Spark prunes before the shuffle (WindowGroupLimit). Ties are broken
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from clauseflow.session import Shelf
 
 K1, B = 1.5, 0.75
 TOP_K, POOL, RRF_K = 5, 20, 60
+CORPUS_BLOCK, QUERY_BLOCK = 50_000, 50_000
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -118,6 +121,91 @@ def rank_candidates(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, pool:
     return fuse({"lexical": lexical, "signature": signature}, exact, k)
 
 
+def _block_pools(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, pool: int, other_unit: bool) -> pd.DataFrame:
+    """(query, id, pool, score): what one block of the corpus may add to the pools of one block of queries."""
+    none = pd.DataFrame({"query": [], "id": [], "pool": [], "score": []})
+    if not len(queries) or not len(corpus):
+        return none
+    corpus = corpus.sort_values("id", kind="stable", ignore_index=True)  # places stand in order of id
+    n, ids = len(corpus), corpus["id"].to_numpy()
+    sizes = corpus["terms"].map(len).to_numpy()
+    terms = np.concatenate([*corpus["terms"], np.empty(0)]).astype(np.int64)
+    order = np.argsort(terms, kind="stable")
+    docs, weights = np.repeat(np.arange(n), sizes)[order], np.concatenate([*corpus["weights"], np.empty(0)])[order]
+    known, first, count = np.unique(terms[order], return_index=True, return_counts=True)
+    lists = {t: (docs[i : i + m], weights[i : i + m]) for t, i, m in zip(known.tolist(), first.tolist(), count.tolist(), strict=True)}
+    units = corpus["unit"].to_numpy()
+    of_unit, of_key, of_sig = ({v: np.asarray(at) for v, at in corpus.groupby(c).indices.items()} for c in ("unit", "key", "sig"))
+    nothing = np.empty(0, dtype=np.int64)
+    without_unit = np.flatnonzero(pd.isna(units))
+    parts = []
+    for query, unit, key, sig, mates, words in zip(*(queries[c] for c in ("query", "query_unit", "key", "sig", "mates", "terms")), strict=True):
+        if other_unit and pd.isna(unit):
+            continue
+        hits = [lists[t] for t in words.tolist() if t in lists]
+        score = np.bincount(np.concatenate([d for d, _ in hits]), np.concatenate([w for _, w in hits]), n) if hits else np.zeros(n)
+        exact, same = of_key.get(key, nothing), of_sig.get(sig, nothing)
+        if other_unit:
+            own = of_unit.get(unit, nothing)
+            score[own] = score[without_unit] = -1.0
+            score[ids == query] = -1.0
+            exact, same = exact[score[exact] >= 0], same[score[same] >= 0]
+        score[exact] = -1.0
+        most = pool if mates else min(k, pool)  # without a signature pool, ranks beyond k can't reach the first k
+        least = max(np.partition(score, n - most)[n - most] - 2e-9, 0.0) if n > most else 0.0
+        found = np.flatnonzero(score > least) if least == 0.0 else np.flatnonzero(score >= least)
+        value = np.round(score[found], 9)
+        found, value = found[value > 0], value[value > 0]
+        best = np.lexsort((found, -value))[:most]
+        same = same[score[same] >= 0]
+        same_value = np.round(score[same], 9)
+        same_best = np.lexsort((same, -same_value))[:pool]
+        for name, at, v in (("exact", exact[:pool], np.zeros(len(exact[:pool]))), ("lexical", found[best], value[best]), ("signature", same[same_best], same_value[same_best])):
+            if len(at):
+                parts.append((query, name, at, v))
+    if not parts:
+        return none
+    m = [len(x[2]) for x in parts]
+    return pd.DataFrame({"query": np.repeat([x[0] for x in parts], m), "id": ids[np.concatenate([x[2] for x in parts])], "pool": np.repeat([x[1] for x in parts], m), "score": np.concatenate([x[3] for x in parts])})
+
+
+def rank_all(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, pool: int = POOL, other_unit: bool = False) -> DataFrame:
+    """`rank_candidates` with the same result, for queries that are as many as the corpus.
+
+    Almost every pair has a common term there, so pairs are never rows: blocks of queries meet blocks of the corpus in a Python worker,
+    where scores are sums into an array, and only a block's first `pool` of each query leave it (the first k, if nothing shares its signature). No task holds all rows.
+    """
+    spark = corpus.sparkSession
+    shelf = Shelf(spark, "rank-all")
+
+    def prepared(df: DataFrame) -> DataFrame:
+        key = T.normalize_text("text")
+        sig = T.usable_signature("signature")
+        return shelf.put(df.select("id", F.col("unit_id").alias("unit"), F.when(key != "", F.md5(key)).alias("key"), F.md5(sig).alias("sig"), T.tokens("text").alias("t")).filter("id IS NOT NULL"))
+
+    c, q = prepared(corpus), prepared(queries)
+    index = shelf.put(bm25_index(c, "id", F.col("t")))
+    words = shelf.put(index.select("term").distinct().withColumn("n", F.monotonically_increasing_id()))  # a number for each term, fixed by writing it
+    postings = index.join(words, "term").groupBy("id").agg(F.collect_list(F.struct("n", "weight")).alias("p"))
+    asked = q.select("id", F.explode(F.array_distinct("t")).alias("term")).join(words, "term").groupBy("id").agg(F.array_sort(F.collect_list("n")).alias("terms"))
+    of_sig = c.filter("sig IS NOT NULL" + " AND unit IS NOT NULL" * other_unit).groupBy("sig").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    mates = (F.col("low") != F.col("unit")) | (F.col("high") != F.col("unit")) if other_unit else F.lit(True)
+    q_sig = q.join(of_sig.withColumn("any", F.lit(True)), "sig", "left").withColumn("mates", F.coalesce(F.col("any") & mates, F.lit(False)))
+    n_corpus, n_queries = c.count(), q.count()
+    high, wide = max(1, -(-n_corpus // CORPUS_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    longs, doubles = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    left = c.drop("t").join(postings, "id", "left").select("id", "unit", "key", "sig", F.coalesce("p.n", longs).alias("terms"), F.coalesce("p.weight", doubles).alias("weights"), block(high).alias("cb"), all_blocks(wide).alias("qb"))
+    right = q_sig.join(asked, "id", "left").select(F.col("id").alias("query"), F.col("unit").alias("query_unit"), "key", "sig", "mates", F.coalesce("terms", longs).alias("terms"), block(wide).alias("qb"), all_blocks(high).alias("cb"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * high * wide)
+    left, right = left.repartition(parts, "cb", "qb"), right.repartition(parts, "cb", "qb")
+    pools = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(lambda x, y: _block_pools(y, x, k, pool, other_unit), "query string, id string, pool string, score double")
+    pools = shelf.put(pools)
+    ranked = {n: top(pools.filter(F.col("pool") == n).drop("pool"), pool, [F.desc("score"), F.asc("id")]) for n in ("lexical", "signature")}
+    return fuse(ranked, pools.filter("pool = 'exact'"), k)
+
+
 def augment(forward: DataFrame, reverse: DataFrame, k: int = TOP_K) -> DataFrame:
     """Forward candidates with each corpus row added to its top query: exact first, then added, then the rest, at most k.
 

@@ -219,10 +219,10 @@ def rrf_topk(spark, d):
 
 @query
 def reverse_augment(spark, d):
-    """Forward candidates of the asked functions, augmented by what the asked functions of the other side rank first."""
+    """Forward candidates of the asked functions, augmented by every function of the other side that ranks one of them first."""
     before, after = _sides(spark, d)
-    forward = retrieval.rank_candidates(asked(before), after)
-    reverse = retrieval.rank_candidates(asked(after), before)
+    forward = retrieval.rank_all(asked(before), after)
+    reverse = asked(retrieval.rank_all(after, before, k=1))
     out = retrieval.augment(forward, reverse)
     return out.select(F.col("query").alias("before_id"), F.col("id").alias("after_id"), "kind", "rank")
 
