@@ -11,6 +11,8 @@ from pyspark.sql import types as S
 
 from clauseflow.functions import lexicon as L
 from clauseflow.functions import text as T
+from clauseflow.operators import graph, matching
+from clauseflow.session import Shelf
 
 _KIND = re.compile(r"(?i)(?<![а-яёa-z])(" + "|".join(L.UNIT_KINDS) + r")([а-яё]*)")
 # Words of a name, an abbreviation behind it, verbs by their endings.
@@ -69,17 +71,68 @@ def candidate_units(clauses: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "key").agg(F.countDistinct("id").alias("n_clauses"), F.min("abbreviation").alias("abbreviation"))
 
 
-def unit_changes(units: DataFrame) -> DataFrame:
-    """(before_id, after_id, status): kept for units of equal name key, the n-th of a key with the n-th of the other version, in order of id; the rest abolished or created.
+def _named(units: DataFrame) -> DataFrame:
+    """(id, version, key, abbreviation) of units with id, name, version; an empty key is null."""
+    key = F.nullif(T.unit_name_key("name"), F.lit("")).alias("key")
+    # written, so that later plans don't hold the long expression of the key
+    return Shelf(units.sparkSession, "unit-names").put(units.select("id", "version", key, T.abbreviation("name").alias("abbreviation")).distinct())
 
-    units: id, name, version; a null or empty name matches nothing.
+
+def _names(df: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, name): key and abbreviation as rows; a key never equals an abbreviation."""
+    return df.select(id_col, F.explode(F.array(F.concat(F.lit("k|"), "key"), F.concat(F.lit("a|"), "abbreviation"))).alias("name")).dropna().distinct()
+
+
+def merged_units(units: DataFrame) -> DataFrame:
+    """(id, version, unit_id): within a version, units of equal key or abbreviation are one, whose id is the smallest.
+
+    Equality carries on: a unit that shares its key with a second and its abbreviation with a third makes all three one.
+    units: id, name, version; a unit without name stays alone.
+    """
+    n = _named(units)
+    k, a = F.concat_ws("|", F.lit("k"), "version", "key"), F.concat_ws("|", F.lit("a"), "version", "abbreviation")
+    n = n.withColumn("k", F.when(F.col("key").isNotNull(), k)).withColumn("a", F.when(F.col("abbreviation").isNotNull(), a))
+    labels = graph.propagate_min(n.select(F.col("k").alias("u"), F.col("a").alias("v"))).withColumnRenamed("node", "at")
+    own = n.withColumn("at", F.coalesce("k", "a", F.concat(F.lit("i|"), "id"))).join(labels, "at", "left").select("id", "version", F.coalesce("label", "at").alias("label"))
+    return own.join(own.groupBy("version", "label").agg(F.min("id").alias("unit_id")), ["version", "label"]).select("id", "version", "unit_id").distinct()
+
+
+def merged_parents(units: DataFrame, merged: DataFrame) -> DataFrame:
+    """(unit_id, parent): the first parent, in order of id, that a merged unit's members name, as the id of the unit it was merged into.
+
+    A parent that isn't a unit stays as it is; a parent merged into the unit itself is none.
+    """
+    p = units.select("id", F.when(F.trim("parent") != "", F.col("parent")).alias("parent")).distinct()
+    to = merged.select(F.col("id").alias("parent"), F.col("unit_id").alias("to")).distinct()
+    known = merged.select("id", "unit_id").join(p, "id").join(to, "parent", "left").withColumn("parent", F.coalesce("to", "parent"))
+    known = known.withColumn("at", F.when(F.col("parent") != F.col("unit_id"), F.struct("id", "parent")))
+    return known.groupBy("unit_id").agg(F.min("at")["parent"].alias("parent"))
+
+
+def parents_by_name(units: DataFrame, parent_name: str) -> DataFrame:
+    """(id, parent_id): the first other unit of the version, in order of id, whose key or abbreviation is that of the name in `parent_name`."""
+    named = _named(units)
+    of = lambda df, i: _names(df.withColumn("at", F.struct("id", "version")), "at").select(F.col("at.id").alias(i), F.col("at.version").alias("version"), "name")
+    asked = _named(units.select("id", "version", F.col(parent_name).alias("name")))
+    hits = of(asked, "id").join(of(named, "parent_id"), ["version", "name"]).filter("id <> parent_id")
+    return units.select("id").distinct().join(hits.groupBy("id").agg(F.min("parent_id").alias("parent_id")), "id", "left")
+
+
+def unit_changes(units: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(before_id, after_id, status): one row per merged unit; kept for units that share a key or abbreviation, the rest abolished or created.
+
+    Each unit of 'before', in order of id, takes the first unit of 'after' that is left. units: id, name, version; a unit without name
+    matches nothing. merged: the result of `merged_units`, if there is one.
     """
-    u = units.select("id", "version", F.nullif(T.unit_name_key("name"), F.lit("")).alias("key")).distinct()
-    w = Window.partitionBy("version", "key").orderBy("id")
-    nth = u.withColumn("nth", F.when(F.col("key").isNotNull(), F.row_number().over(w)))
-    b = nth.filter("version = 'before'").select(F.col("id").alias("before_id"), "key", "nth")
-    a = nth.filter("version = 'after'").select(F.col("id").alias("after_id"), "key", "nth")
-    both = b.join(a, ["key", "nth"], "full")
+    m = Shelf(units.sparkSession, "unit-changes").put(merged_units(units) if merged is None else merged)
+    names = _names(_named(units).join(m, ["id", "version"]).withColumn("at", F.struct("version", "unit_id")), "at").select("at.*", "name")
+    side = lambda v, c: names.filter(F.col("version") == v).select(F.col("unit_id").alias(c), "name")
+    # a cap of one pair is the greedy pass; the letters keep ids of both sides apart
+    pairs = side("before", "b").join(side("after", "a"), "name").select(F.concat(F.lit("b"), "b").alias("a"), F.concat(F.lit("n"), "a").alias("b"), F.lit(1.0).alias("similarity"))
+    taken = matching.degree_cap(pairs, 1).select(F.expr("substring(a, 2)").alias("before_id"), F.expr("substring(b, 2)").alias("after_id"))
+    b = m.filter("version = 'before'").select(F.col("unit_id").alias("before_id")).distinct()
+    a = m.filter("version = 'after'").select(F.col("unit_id").alias("after_id")).distinct()
+    both = b.join(taken, "before_id", "left").join(a, "after_id", "full")
     status = F.when(F.col("after_id").isNull(), "abolished").when(F.col("before_id").isNull(), "created").otherwise("kept")
     return both.select("before_id", "after_id", status.alias("status"))
 

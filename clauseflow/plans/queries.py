@@ -336,9 +336,11 @@ def dup_degree_cap(spark, d):
 @query
 def owner_relation(spark, d):
     """Whether linked functions have the same owner, by unit, lineage of units and executor."""
-    f = functions(spark, d).select("id", "unit_id", "executor").distinct()
+    merged = Shelf(spark, "owners").put(units.merged_units(unit_rows(spark, d)))
+    one = merged.select(F.col("id").alias("unit_id"), F.col("unit_id").alias("one")).distinct()
+    f = functions(spark, d).select("id", "unit_id", "executor").distinct().join(one, "unit_id", "left").withColumn("unit_id", F.coalesce("one", "unit_id"))
     side = lambda p, i: f.select(F.col("id").alias(i), F.col("unit_id").alias(p + "u"), F.col("executor").alias(p + "e"))
-    kept = units.unit_changes(unit_rows(spark, d)).filter("status = 'kept'").select(F.col("before_id").alias("bu"), F.col("after_id").alias("au"), "status")
+    kept = units.unit_changes(unit_rows(spark, d), merged).filter("status = 'kept'").select(F.col("before_id").alias("bu"), F.col("after_id").alias("au"), "status")
     both = link_pairs(spark, d).join(side("b", "before_id"), "before_id").join(side("a", "after_id"), "after_id").join(kept, ["bu", "au"], "left")
     rel = matching.owner_relation(F.col("bu"), F.col("au"), F.col("status"), F.col("be"), F.col("ae"))
     return both.select("before_id", "after_id", rel.alias("relation"))

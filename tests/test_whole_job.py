@@ -5,7 +5,7 @@ import random
 
 import duckdb
 
-from clauseflow.operators import retrieval
+from clauseflow.operators import retrieval, units
 from clauseflow.plans.oracle import ORACLE
 from clauseflow.plans.queries import QUERIES
 
@@ -43,3 +43,31 @@ def test_reverse_augment_searches_from_every_after_function(spark):
     want = _sql(f"SELECT * FROM ({whole}) WHERE {ASKED.replace('id', 'before_id')}")
     got = QUERIES["reverse_augment"](spark, DATA).select(*want.columns)
     assert _rows(got) == sorted(tuple(map(str, x)) for x in want.fetchall())
+
+
+def test_units_merge_within_a_version_before_they_match(spark):
+    rows = [
+        ("b1", "Отдел учёта", "before", None), ("b2", "отдел  учета", "before", "b1"), ("b3", "Отдел закупок (ОЗК)", "before", "b2"), ("b4", "ОЗК", "before", None), ("b5", "Отдел связи", "before", "b4"), ("b6", None, "before", "x9"),
+        ("a1", "ОЗК", "after", None), ("a2", "Отдел учёта", "after", " "), ("a3", "Отдел архива", "after", "a1"), ("a4", None, "after", None),
+    ]
+    df = spark.createDataFrame(rows, "id string, name string, version string, parent string")
+    m = units.merged_units(df)
+    assert {x.id: x.unit_id for x in m.collect()} == {i: {"b2": "b1", "b4": "b3"}.get(i, i) for i, *_ in rows}
+    got = {tuple(x) for x in units.unit_changes(df).collect()}
+    assert got == {("b1", "a2", "kept"), ("b3", "a1", "kept"), ("b5", None, "abolished"), ("b6", None, "abolished"), (None, "a3", "created"), (None, "a4", "created")}
+    parents = {x.unit_id: x.parent for x in units.merged_parents(df, m).collect()}
+    assert parents == {"b1": None, "b3": "b1", "b5": "b3", "b6": "x9", "a1": None, "a2": None, "a3": "a1", "a4": None}
+    named = df.withColumn("over", units.F.when(units.F.col("id") == "b5", "отдел закупок").when(units.F.col("id") == "b1", "Отдел учёта").when(units.F.col("id") == "a3", "ОЗК"))
+    assert {x.id: x.parent_id for x in units.parents_by_name(named, "over").collect() if x.parent_id} == {"b5": "b3", "b1": "b2", "a3": "a1"}
+
+
+def test_unit_changes_lists_a_name_once_a_version(spark):
+    keys = "SELECT id, key FROM (" + ORACLE["unit_name_key"] + ") WHERE key <> ''"
+    assert _sql(f"SELECT count(*) FROM (SELECT key FROM ({keys}) k JOIN units u ON u.id = k.id GROUP BY version, key HAVING count(DISTINCT u.id) > 1)").fetchall()[0][0] > 0
+    key = dict(_sql(keys).fetchall())
+    rows = QUERIES["unit_changes"](spark, DATA).collect()
+    for ids in ([x.before_id for x in rows], [x.after_id for x in rows]):
+        named = [key[i] for i in ids if i in key]
+        assert len(named) == len(set(named))
+    gone, new = ({key[i] for x in rows if x.status == s and (i := x[at]) in key} for s, at in (("abolished", 0), ("created", 1)))
+    assert not gone & new
