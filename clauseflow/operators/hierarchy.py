@@ -33,10 +33,11 @@ def _nodes(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
-    """(unit_id, parent_id, root_id, depth, path, subtree_size, on_circle), one row per distinct id.
+    """(unit_id, parent_id, root_id, depth, path, subtree_size, on_circle, chain), one row per distinct id.
 
     parent_id is null for roots: a null, blank or unknown parent makes a root of depth 0. Where the
-    chain of parents never ends, depth is -1, root_id the smallest id on the circle, path null.
+    chain of parents never ends, depth is -1, root_id the smallest id on the circle, path null. chain is the path, but
+    there it begins with the node of the circle that the node hangs on (or is).
     subtree_size counts the node itself and all nodes below it; on a circle, the nodes
     hanging on that node from outside the circle. Null ids are left out; repeated rows count once;
     an empty table gives an empty result; other columns of df play no part.
@@ -81,7 +82,7 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent") ->
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.col("id").alias("unit_id"), "parent_id", "root_id", "depth", "path", F.col("size").alias("subtree_size"), "on_circle")
+    return out.select(F.col("id").alias("unit_id"), "parent_id", "root_id", "depth", F.when(F.col("depth") >= 0, F.col("chain")).alias("path"), F.col("size").alias("subtree_size"), "on_circle", "chain")
 
 
 def _peel(state: DataFrame, round_no: int) -> DataFrame:
@@ -105,7 +106,7 @@ def _circles(shelf: Shelf, rest: DataFrame) -> DataFrame:
         c._shelf_path = step._shelf_path
         if not moved:
             break
-    return c.select("n", "id", "parent_id", F.col("low").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"), "size", F.lit(True).alias("on_circle"))
+    return c.select("n", "id", "parent_id", F.col("low").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.array("id").alias("chain"), "size", F.lit(True).alias("on_circle"))
 
 
 def _assign(shelf: Shelf, part: DataFrame, layers: int, done: list[DataFrame]) -> DataFrame:
@@ -127,29 +128,31 @@ def _assign(shelf: Shelf, part: DataFrame, layers: int, done: list[DataFrame]) -
         above = done[0]
         for x in done[1:]:
             above = above.unionByName(x)
-        above = above.select(F.col("n").alias("at"), "root_id", "depth", "path")
+        above = above.select(F.col("n").alias("at"), "root_id", "depth", "chain")
         cur = cur.join(above, "at", "left")
     else:
-        cur = cur.select("*", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
+        cur = cur.select("*", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("chain"))
     rooted = F.col("at").isNull()
     return cur.select(
         "n", "id", "parent_id",
         F.when(rooted, F.element_at("seg", 1)).otherwise(F.col("root_id")).alias("root_id"),
         F.when(rooted, F.size("seg").cast("long") - 1).when(F.col("depth") < 0, F.lit(-1)).otherwise(F.col("depth") + F.size("seg")).cast("long").alias("depth"),
-        F.when(rooted, F.col("seg")).otherwise(F.concat("path", "seg")).alias("path"),
+        F.when(rooted, F.col("seg")).otherwise(F.concat("chain", "seg")).alias("chain"),
         "size", F.lit(False).alias("on_circle"),
     )
 
 
-def descendants(tree: DataFrame) -> DataFrame:
+def descendants(tree: DataFrame, circles: bool = False) -> DataFrame:
     """(ancestor_id, unit_id, distance) of a `hierarchy` result: every node below every node.
 
-    Each node's path names its ancestors, so no join is needed. Nodes whose chain of parents never ends
-    have no path and give no rows here.
+    Each node's path names its ancestors, so no join is needed. circles: also what hangs on a circle, below the node of the
+    circle it hangs on and all nodes between, as `subtree_size` counts; else nodes whose chain of parents never ends give no
+    rows. Nodes of one circle are never below each other.
     """
     return (
-        tree.filter("path IS NOT NULL")
-        .select("unit_id", F.size("path").alias("k"), F.posexplode("path").alias("pos", "ancestor_id"))
+        tree.select("unit_id", F.col("chain" if circles else "path").alias("p"))
+        .filter("p IS NOT NULL")
+        .select("unit_id", F.size("p").alias("k"), F.posexplode("p").alias("pos", "ancestor_id"))
         .filter("pos < k - 1")
         .select("ancestor_id", "unit_id", (F.col("k") - 1 - F.col("pos")).cast("long").alias("distance"))
     )

@@ -72,7 +72,7 @@ def p1_hierarchy(spark, d):
 
 @query
 def p1_descendants(spark, d):
-    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "units").select("id", "parent")))
+    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "units").select("id", "parent")), circles=True)
 
 
 # -- scalar functions and classifiers

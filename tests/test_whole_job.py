@@ -5,7 +5,7 @@ import random
 
 import duckdb
 
-from clauseflow.operators import retrieval, units
+from clauseflow.operators import hierarchy, retrieval, units
 from clauseflow.plans.oracle import ORACLE
 from clauseflow.plans.queries import QUERIES
 
@@ -71,3 +71,12 @@ def test_unit_changes_lists_a_name_once_a_version(spark):
         assert len(named) == len(set(named))
     gone, new = ({key[i] for x in rows if x.status == s and (i := x[at]) in key} for s, at in (("abolished", 0), ("created", 1)))
     assert not gone & new
+
+
+def test_descendants_below_a_circle(spark, tmp_path):
+    rows = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("e", "d"), ("self", "self"), ("f", "self"), ("r", None), ("s", "r")]
+    spark.createDataFrame(rows, "id string, parent string").write.parquet(str(tmp_path / "units.parquet"))
+    got = {tuple(x) for x in QUERIES["p1_descendants"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("self", "f", 1), ("r", "s", 1)}
+    sizes = {x.unit_id: x.subtree_size for x in hierarchy.hierarchy(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert sizes == {i: 1 + sum(a == i for a, *_ in got) for i, _ in rows}
