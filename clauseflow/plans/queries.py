@@ -229,13 +229,13 @@ def reverse_augment(spark, d):
 
 @query
 def dup_pairs_cross_unit(spark, d):
-    """Duplicate candidates of the asked functions among functions of other units, without templates, as canonical pairs."""
+    """Duplicate candidates of all functions of a version among functions of other units, without templates, as canonical pairs."""
     f = functions(spark, d).filter("modality <> 'prohibition' AND unit_id IS NOT NULL").filter(~T.is_template_for_retrieval("text"))
     f = Shelf(spark, "duplicates").put(f.select("id", T.strip_templates("text").alias("text"), "signature", "unit_id", "version"))
     out = None
     for v in ("before", "after"):
         own = f.filter(F.col("version") == v)
-        part = retrieval.rank_candidates(asked(own), own, other_unit=True)
+        part = retrieval.rank_all(own, own, other_unit=True)
         out = part if out is None else out.unionByName(part)
     pairs = out.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).distinct()
     t = f.select("id", T.tokens("text").alias("t"))

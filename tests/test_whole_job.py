@@ -80,3 +80,11 @@ def test_descendants_below_a_circle(spark, tmp_path):
     assert got == {("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("self", "f", 1), ("r", "s", 1)}
     sizes = {x.unit_id: x.subtree_size for x in hierarchy.hierarchy(spark.createDataFrame(rows, "id string, parent string")).collect()}
     assert sizes == {i: 1 + sum(a == i for a, *_ in got) for i, _ in rows}
+
+
+def test_dup_pairs_rank_every_function(spark):
+    whole = ORACLE["dup_pairs_cross_unit"].replace(f" WHERE {ASKED}", "")
+    assert whole != ORACLE["dup_pairs_cross_unit"]
+    want = _sql(whole)
+    got = QUERIES["dup_pairs_cross_unit"](spark, DATA).select(*want.columns)
+    assert _rows(got) == sorted(tuple(map(str, x)) for x in want.fetchall())
