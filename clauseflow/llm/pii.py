@@ -6,16 +6,16 @@ distinct string; scores of a batch of texts are then sums of gathered rows, and
 sequences at a time. Tokens that can't be anything but outside, whatever their neighbours are
 labelled, cut a text into short sequences first; the bound on what transitions can add makes that exact.
 
-The field is trained when first used, from a small labelled table that `labelled` writes by rule: sentences
-with marked values in the formats of the domain, and sentences with numbers and names that are no
-personal data. Training takes a few seconds; its seed and size are fixed, so every run has the same weights.
+The field is trained apart from the queries (`python -m clauseflow.llm.pii`), from the labelled table that `pii_table`
+writes by rule; queries load the stored weights. The table's seed and size are fixed, so training again gives the same weights.
 """
 
 from __future__ import annotations
 
-import random
+import io
 import re
 from functools import lru_cache
+from importlib import resources
 from itertools import islice
 
 import numpy as np
@@ -23,230 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseflow.llm.pii_table import labelled
 from clauseflow.llm.textform import canonical_text
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
-#: Sentences in the labelled table.
-TABLE_ROWS = 2600
 REACH = 3  # neighbours on each side that a token's score looks at
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\S\r\n]*[\r\n]\s*|[^\w\s]|_")
 
-# ---------------------------------------------------------------- the labelled table
-
-_FIRST = {
-    "m": "Андрей Виктор Геннадий Захар Игнат Кирилл Леонид Максим Николай Олег Пётр Роман Савелий Тимофей Фёдор Юрий Яков Арсений Богдан Вадим Григорий Демьян Евгений Михаил".split(),
-    "f": "Алевтина Варвара Галина Дарья Елизавета Зинаида Инна Клавдия Лидия Маргарита Надежда Ольга Полина Раиса Светлана Тамара Ульяна Юлия".split(),
-    "en": "Corwin Delphie Fenna Gareth Hollis Isolde Jorvik Lowan Mirela Nolan Orrin Petra Rowan Selwyn Tamsin Alice Brian Clara Edwin Martha Peter Susan Thomas".split(),
-}
-_FATHER = "Андреев Викторов Захаров Игнатов Кириллов Леонидов Николаев Олегов Петров Романов Савельев Тимофеев Фёдоров Юрьев Арсеньев Богданов Вадимов Григорьев Демьянов Евгеньев Михайлов".split()
-_STREETS = "Полынная Овражная Кленовая Литейная Звонкая Малахитовая Слюдяная Ткацкая Сиреневая Черешневая Журавлиная Пристанская Лесная Заводская Садовая".split()
-_LANES = "Гончарный Рыбный Мятный Ольховый Лодочный Стекольный Кирпичный Тихий Речной Садовый".split()
-_POSTS = "аналитик архивариус диспетчер инспектор контролёр координатор куратор методолог ревизор руководитель технолог эксперт".split()
-
-# {kind} stands for a value of that kind; {w} a made-up name of a project or place, {n} a number, {d} a domain word, {post} a post.
-_SENTENCES = """
-Контактное лицо: {person}, тел. {phone}, e-mail {email}.
-Контактное лицо: {person}, тел. {phone}, e-mail {email}
-Контакт: {person}, телефон {phone}.
-Отв. исполнитель {person} ({phone}).
-Отв. исполнитель {person} ({phone}). {Cap} {d} {d} на основании {d} {d}.
-Исполнитель: {person}, {phone}
-Дежурный {person} ({phone}).
-{person} передаёт опись, срок не указан.
-{person} принимает дела, {post} извещён.
-Экспедитор перезвонит по номеру {phone} после смены.
-Пропуск заказывают заранее ({phone}) либо на посту.
-Вне смены: {phone}.
-Звонить {phone} до обеда.
-Замечания принимаются по {email} до конца месяца.
-{email} — ящик для возражений.
-Копию направить: {email}; бумажный экземпляр не нужен.
-Вопросы присылайте на {email}.
-Работник {person}, {id}, ознакомлен с регламентом.
-В заявке указано {id}; проживает: {address}.
-В анкете указано {id}.
-Доверенность выдана на имя {person}, {id}, {address}.
-Доверенность выдана на имя {person}, {id}, {address}.
-Адрес для вручения копий: {address}.
-Адрес для вручения копий: {address}
-Посылку доставить: {address}.
-Согласовано ({person}).
-Утверждено ({person}). {Cap} {d} по направлению «{w}».
-Опись получает {person}, {post}.
-Приказ подписан: {person}, {post}.
-{person} передаёт опись, срок не указан.
-По словам {person}, замечаний нет.
-Принял {post} {person}, сдал {post} {person}.
-Contact {enperson}, phone {enphone} or write to {email}.
-Contact {enperson}, phone {enphone} or write to {enemail}.
-Signed by {enperson}; call {enphone} after hours.
-The file of {enperson} lists {enid}.
-The file of {enperson} lists {enid}. The {e} {e} reviews {e} {e} within {n2} working days.
-{enperson} gave {enid}.
-{email} — ящик для возражений. {Post} контура {w} готовит {d} {d}.
-Замечаний нет. {email} — ящик для возражений.
-Deliver the register to {enaddress}, attention {enperson}.
-Send the parcel to {enaddress}.
-Questions go to {email}.
-A copy was sent ({email}) last week.
-{enemail} collects objections.
-{email} collects objections.
-Сумма {n3} {n3} руб. отнесена на {d} {d} по направлению «{w}».
-Сумма {n3} {n3} руб. отнесена на {d} {d} в части {d} {d}.
-Инвентарный номер {n5}-{n3}, партия {n6}.
-Код изделия 00{n5}{n2}/{n2}, остаток {n2} {n3} ед.
-Договор № {n2}-{n3}/{n1} учтён в описи {n3}.
-Расчётный счёт {n20} закрыт.
-См. пп. {n1}.{n1}.{n1} и {n1}.{n2}.{n1} редакции {n1}.
-стр. {n2}
-Согласно п. {n1}.{n2}.{n1} {post} готовит {d} {d} по показателям ETL и {d} {d}.
-С {n2}.0{n1}.2025 {post} направляет {d} {d} на основании {d} {d}.
-{Post} контура {w} рассматривает {d} {d} по карте {w}-{n4} (этапы {w}-{n4}, {w}-{n3}).
-{Cap} и {d} {d} {d} для площадок {w}-{n4}, {w}-{n3} и {w}-{n4}.
-{Cap} {d} {d} в проекте {w}-{n4} и контуре {w}-{n3} с передачей в {w}-{n2}.
-{Cap} {d} согласно программе {w}-{n4}, приложения {w}-{n3} и {w}-{n4}.
-{Cap} {d} и направляет итоги {w}-{n4} и {w}-{n3} в {w}-{n4}. Итоги {d} {d} хранятся в системе {w}.
-{Cap} {d} не позднее {n2} рабочих дней в порядке регламента {w}.
-Каждый {post} обеспечивает {d} {d} с учётом {d} {d}, включая {d} {d}.
-{CAP} {CAP} {CAP}
-{Cap} {d} {d} по направлению «{w}-{n3}», а также {d} {d}.
-{d} {d} для площадок {lw}-{n4} {lw}-{n3} и {lw}-{n4}
-{Cap} {d} {d} по карте {lw}-{n4} (этапы {lw}-{n3}, {lw}-{n4}).
-{Cap} {d} {d} по карте {w}-{n4} (этапы {w}-{n2}, {w}-{n4}), приложения {w}-{n4}, {w}-{n4} и {w}-{n2}.
-{CAP} {d} ETL И {CAP} {CAP} А ТАКЖЕ {CAP} {CAP}
-Invoice {n6}{n3} was matched to batch {n3}-{n4}.
-Meter readings rose from {n3} {n3} to {n3} {n3}.
-See clause {n1}.{n1}.{n1} of edition {n1}.
-The {e} {e} reviews {e} {e} and {e} {e} on behalf of office {W}-{n3}, then revises {e} within {n2} working days.
-The {e} {e} archives {e} {e} under programme {W}, then approves {e} as listed in register {W}-{n3}.
-Each branch office monitors {e} {e} in line with KPI requirements, then documents {e} subject to the {e} {e} rules.
-Decide who is accountable when The {e} {e} estimates {e} {e} together with the {e} {e}.
-Отделение «{w}» по ул. без названия не значится, телефон утерян.
-Номер договора {n2}-{n3}, номер счёта {n20}, номер партии {n6}.
-""".strip().splitlines()
-
-
-def _syllables(r: random.Random, n: int, cyr: bool) -> str:
-    a, b, c = ("бвгджзклмнпрстфхчшщ", "аеиоуыюя", "лмнрстхк") if cyr else ("bdfghklmnprstvz", "aeiou", "lmnrstk")
-    return "".join(r.choice(a) + r.choice(b) + (r.choice(c) if r.random() < 0.3 else "") for _ in range(n))
-
-
-def _person(r: random.Random) -> str:
-    sex = r.choice("mf")
-    end = r.choice([("ов", "ова"), ("ев", "ева"), ("ин", "ина"), ("ский", "ская"), ("енко", "енко"), ("ук", "ук"), ("ич", "ич")])[sex == "f"]
-    last = _syllables(r, r.choice((1, 2, 2, 3)), True).capitalize() + r.choice("кмнсрлтд") + end
-    first = r.choice(_FIRST[sex])
-    father = r.choice(_FATHER) + ("ич" if sex == "m" else "на")
-    i, j = first[0] + ".", r.choice("АБВГДЕЗИКЛМНПРСТФЮЯ") + "."
-    return r.choice((f"{first} {father} {last}", f"{last} {first} {father}", f"{i}{j} {last}", f"{i} {j} {last}", f"{last} {i}{j}", f"{last} {i} {j}", f"{first} {last}", f"{first} {last}", f"{last} {first}", f"{i} {last}", f"{last} {i}"))
-
-
-def _enperson(r: random.Random) -> str:
-    last = r.choice("Oak Elder Hather Mor Kest Quar Thorn Rave Dun Stan Cold Pel Brad Whit Ash Fair Win".split()) + r.choice("worth garth mere leigh stowe den brook wick combe fold croft ham field ton".split())
-    first = r.choice(_FIRST["en"])
-    mid = r.choice("ABCDEFGHIJKLMNOPRSTW") + "."
-    return r.choice((f"{first} {last}", f"{first} {mid} {last}", f"{first[0]}. {last}", f"{first[0]}. {last}"))
-
-
-def _phone(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    code, a, b, c = d(3), d(3), d(2), d(2)
-    s = r.choice((f"+7 {code} {a} {b} {c}", f"+7 ({code}) {a}-{b}-{c}", f"8 ({code}) {a}-{b}-{c}", f"8{code}{a}{b}{c}", f"+7{code}{a}{b}{c}", f"8-{code}-{a}-{b}{c}", f"8 {code} {a}-{b}-{c}", f"+7-{code}-{a}-{b}-{c}"))
-    return s + (f" доб. {d(2)}" if r.random() < 0.25 else "")
-
-
-def _enphone(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    s = r.choice((f"+44 20 {d(4)} {d(4)}", f"001 {d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}"))
-    return s + (f" ext. {d(2)}" if r.random() < 0.1 else "")
-
-
-def _email(r: random.Random) -> str:
-    user = _syllables(r, r.choice((2, 3)), False)
-    user = r.choice((user, f"{r.choice('abdnprst')}_{user}", f"{user}{r.randrange(10, 99)}", f"{user}.{r.choice('abdnprst')}", f"{user}+docs"))
-    host = _syllables(r, 2, False) + r.choice(("", "", "-group")) + r.choice((".example", ".test", ".example.org", ".ru", ".com"))
-    s = user + r.choice(("@", "@", "@", "@", " @ ", " [at] ", "(собака)", "(at)")) + host
-    return s.upper() if r.random() < 0.08 else s
-
-
-def _enemail(r: random.Random) -> str:
-    s = _email(r).lower()
-    for sign in (" @ ", " [at] ", "(собака)", "(at)", "@"):
-        if sign in s:
-            user, host = s.split(sign)
-            return f"{user} (at) " + host.replace(".", " (dot) ")
-    return s
-
-
-def _id(r: random.Random) -> tuple[str, str]:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word, value = r.choice((
-        ("ИНН", r.choice((d(12), f"{d(4)} {d(4)} {d(4)}"))),
-        ("СНИЛС", r.choice((d(11), f"{d(3)}-{d(3)}-{d(3)} {d(2)}", f"{d(3)} {d(3)} {d(3)} {d(2)}"))),
-        ("паспорт", r.choice((f"{d(2)} {d(2)} {d(6)}", f"{d(4)} {d(6)}", f"{d(4)} № {d(6)}", f"серия {d(4)} № {d(6)}"))),
-    ))
-    return word + r.choice((" ", ": ")), value.removeprefix("серия ")
-
-
-def _enid(r: random.Random) -> tuple[str, str]:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word, value = r.choice((("SSN", f"{d(3)}-{d(2)}-{d(4)}"), ("passport no.", f"ZX{d(7)}"), ("passport no.", f"{d(9)}"), ("national insurance number", f"QQ {d(2)} {d(2)} {d(2)} C"), ("national insurance number", f"{r.choice('ABCE')}{r.choice('ABCE')} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}")))
-    return word + r.choice((" ", ": ")), value
-
-
-def _address(r: random.Random) -> str:
-    town = r.choice(("{}", "{}", "{}", "{}-Южный", "{}-на-Реке", "Нижний {}")).format(_syllables(r, 2, True).capitalize() + r.choice(("ск", "град", "ово", "горск", "инск")))
-    street, lane, n, m, post = r.choice(_STREETS), r.choice(_LANES), r.randrange(1, 200), r.randrange(1, 220), f"{r.randrange(1000, 999999):06d}"
-    road = r.choice((f"ул. {street}, д. {n}", f"ул. {street}, {n}-{m}", f"пер. {lane}, {n}", f"пер. {lane}, дом {n}", f"улица {street}, дом {n}", f"{street} ул., д. {n}"))
-    flat = r.choice(("", "", f", кв. {m}", f", корп. {r.randrange(1, 9)}, квартира {m}")) if ("д. " in road or "дом" in road) else ""
-    s = r.choice(("", "", f"г. {town}, ", f"{post}, г. {town}, ", f"{post}, {town}, ")) + road + flat
-    return s.replace(". ", ".").replace("ул.,", "ул.,") if s.startswith("г. ") and r.random() < 0.4 else s
-
-
-def _enaddress(r: random.Random) -> str:
-    road = f"{r.randrange(1, 200)} " + r.choice(("Saddlers", "Juniper", "Quarry", "Windmill", "Maple Hollow", "Old Ferry", "Cooper Lane", "Mill")) + " " + r.choice(("Lane", "Road", "Street", "Avenue"))
-    return r.choice((f"Flat {r.randrange(1, 250)}, {road}", f"{road}, " + r.choice(("Northwick", "Stonebury", "Eastmere", "Port Harlan", "Westford"))))
-
-
-def labelled(rows: int = TABLE_ROWS, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """The labelled table: sentences as pieces (text, kind or '')."""
-    r = random.Random(seed)
-    word = lambda cyr: _syllables(r, r.choice((2, 3, 3, 4)), cyr) + r.choice(("ию", "ов", "ых", "ний", "ет", "ка", "ные") if cyr else ("s", "ed", "al", "ing", "ory"))
-    make = {"person": _person, "enperson": _enperson, "phone": _phone, "enphone": _enphone, "email": _email, "enemail": _enemail, "address": _address, "enaddress": _enaddress}
-    out = []
-    for k in range(rows):
-        # two or three sentences follow each other as in running text, with the numbering and bullets that documents have
-        pieces: list[tuple[str, str]] = []
-        for _ in range(r.choice((1, 2, 2, 3))):
-            pieces.append((r.choice(("", "", f"{r.randrange(1, 12)}.{r.randrange(1, 30)}. ", "– ", "• ")), ""))
-            for part in re.split(r"(\{\w+\})", _SENTENCES[k % len(_SENTENCES)] if not len(pieces) > 1 else r.choice(_SENTENCES)):
-                if not part.startswith("{"):
-                    pieces.append((part, ""))
-                    continue
-                name = part[1:-1]
-                if name in make:
-                    pieces.append((make[name](r), name.removeprefix("en")))
-                elif name in ("id", "enid"):
-                    before, value = (_id if name == "id" else _enid)(r)
-                    pieces += [(before, ""), (value, "id_number")]
-                elif name[0] == "n":
-                    pieces.append(("".join(r.choice("0123456789") for _ in range(int(name[1:]))), ""))
-                elif name in ("post", "Post"):
-                    p = r.choice(_POSTS)
-                    pieces.append((p.capitalize() if name == "Post" else p, ""))
-                else:
-                    w = word(name not in ("e", "W"))
-                    pieces.append((w.upper() if name == "CAP" else w.capitalize() if name in ("Cap", "w", "W") else w, ""))
-            pieces.append((r.choice((" ", " ", "\n", "\r\n", "  ")), ""))
-        if r.random() < 0.1:  # some texts are set with double blanks
-            pieces = [(t.replace(" ", "  "), k) for t, k in pieces]
-        out.append(pieces)
-    return out
-
-
 # ---------------------------------------------------------------- tokens and what the field sees of them
 
 
@@ -499,10 +285,28 @@ def train(table: list[list[tuple[str, str]]], epochs: int = 12, rate: float = 0.
     return Field(known, w[:, :nf].astype(np.float32), trans.astype(np.float32), start.astype(np.float32))
 
 
+WEIGHTS = "pii_weights.npz"
+
+
+def pack_field(model: Field) -> bytes:
+    """The weights as bytes, in half precision, with the smallest ones as zero."""
+    w = np.where(np.abs(model.weights) < 0.02, 0, model.weights).astype(np.float16)
+    names = "\n".join(sorted(model.known, key=model.known.get)).encode()
+    out = io.BytesIO()
+    np.savez_compressed(out, names=np.frombuffer(names, np.uint8), weights=w, trans=model.trans, start=model.start)
+    return out.getvalue()
+
+
+def unpack_field(data: bytes) -> Field:
+    z = np.load(io.BytesIO(data))
+    known = {f: i for i, f in enumerate(z["names"].tobytes().decode().split("\n"))}
+    return Field(known, z["weights"].astype(np.float32), z["trans"], z["start"])
+
+
 @lru_cache(maxsize=1)
 def field() -> Field:
-    """The field trained on the whole labelled table."""
-    return train(labelled())
+    """The field with the stored weights."""
+    return unpack_field(resources.files("clauseflow.llm").joinpath(WEIGHTS).read_bytes())
 
 
 # ---------------------------------------------------------------- finding and masking
@@ -531,51 +335,75 @@ def find(texts: list[str], model: Field) -> list[list[tuple[int, int, str]]]:
         found = []
         for a, b, kind, _ in spans:
             a, b = checked(text, a, b, kind)
-            if a < b and (not found or a >= found[-1][1]):
+            if found and found[-1][2] == kind and a <= found[-1][1] < b:  # a value that was completed into the one before it
+                found[-1] = (found[-1][0], b, kind)
+            elif a < b and (not found or a >= found[-1][1]):
                 found.append((a, b, kind))
         out.append(found)
     return out
 
 
-_EMAIL = re.compile(r"[\w.+-]+\s?(?:@|＠|\(\s?\w+\s?\)|\[\s?\w+\s?\]| at | собака )\s?[\w-]+(?:(?:\.| ?[(\[](?:dot|точка)[)\]] ?)[\w-]+)+")
-# Parts of which an address has at least one.
-_ADDRESS_PART = re.compile(r"(?i)(?<!\w)(?:ул|улица|пер|переулок|пр|просп|проспект|шоссе|наб|набережная|пл|площадь|бульвар|д|дом|кв|квартира|flat|apt|street|st|road|rd|lane|avenue|ave|drive|square|court)(?!\w)")
-_DIGITS_BEFORE = re.compile(r"(?<![\w.,-])(?:\d+(?:\s?№)?[ -])+$")  # the first groups of the same number
-_INITIAL_BEFORE = re.compile(r"(?<!\w)[A-ZА-ЯЁ]\.\s?$")
-_BARE_LETTER = re.compile(r"(?<!\w)\w(?![\w.])")  # an initial has its stop
-_AFTER_NUMBER = re.compile(r"(?i)\b(доб|ext|вн)\b")
-
-
 def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
-    """An exact check of a span that the field found: the part of it that its kind can be, or an empty one."""
-    while a < b and not (text[a].isalnum() or (kind == "phone" and text[a] in "+(")):
+    """An exact check of a span that the field found: signs that no value begins or ends with fall off, a value of which
+    the field saw a part is completed to whole words, and a span without what its kind is made of is none."""
+    while a < b and not (text[a].isdigit() or text[a] in "+(" if kind == "phone" else text[a].isalnum()):
         a += 1
-    while b > a and not (text[b - 1].isalnum() or (kind == "person" and text[b - 1] == "." and b - a > 1 and not text[b - 3 : b - 2].isalpha())):
+    while b > a and not (text[b - 1].isalnum() or (kind == "person" and text[b - 1] == "." and text[b - 2 : b - 1].isalpha() and not text[max(a, b - 3) : b - 2].isalpha())):
         b -= 1
-    if kind == "id_number" and (m := _DIGITS_BEFORE.search(text, max(0, a - 24), a)):
-        a = m.start()
-    elif kind == "person" and (m := _INITIAL_BEFORE.search(text, max(0, a - 4), a)):
-        a = m.start()
+    if a >= b:
+        return a, a
+    while a > 0 and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while kind == "email" and a > 0 and (text[a - 1].isalnum() or (text[a - 1] in "._+-" and a > 1 and text[a - 2].isalnum())):
+        a -= 1
+    while b < len(text) and text[b - 1].isalnum() and (text[b].isalnum() or (kind == "email" and text[b] in ".-" and text[b + 1 : b + 2].isalnum())):
+        b += 1
+    if kind == "person" and a >= 2 and text[a - 1].isspace() and text[a - 2] == ".":  # an initial set apart
+        if a >= 3 and text[a - 3].isupper() and not text[max(0, a - 4) : a - 3].isalnum():
+            a -= 3
+    if kind == "person" and b < len(text) and text[b] == "." and text[b - 1].isupper() and not text[max(0, b - 2) : b - 1].isalnum():
+        b += 1  # the stop of a last initial
+    if kind == "phone" and a >= 1 and text[a - 1] == "+":
+        a -= 1
+    if kind == "id_number":  # groups of the same number, on both sides, however many
+        while (n := _group_before(text, a)) is not None:
+            a = n
+        while (n := _group_after(text, b)) is not None:
+            b = n
     value = text[a:b]
     digits = sum(c.isdigit() for c in value)
-    ok = True
-    if kind == "email":  # the whole user name, and nothing of the next sentence
-        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
-            a -= 1
-        m = _EMAIL.match(text, a)
-        return (a, m.end()) if m and m.end() > a else (a, a)
-    if kind == "phone":
-        ok = digits >= 7 and not any(c.isalpha() for c in _AFTER_NUMBER.sub("", value))
+    if kind == "email":
+        ok = len(value) >= 5 and (any(c in "@＠" for c in value) or sum(not c.isalnum() for c in value) >= 3)
+    elif kind == "phone":
+        ok = digits >= 5
     elif kind == "id_number":
-        ok = digits >= 6
+        ok = digits >= 5
     elif kind == "address":
-        ok = digits >= 1 and _ADDRESS_PART.search(value) is not None
+        ok = sum(c.isalpha() for c in value) >= 2
     else:
-        letters = [c for c in value if c.isalpha()]
-        ok = digits == 0 and len(letters) >= 3 and not (len(value) > 12 and all(c.isupper() for c in letters)) and not _BARE_LETTER.search(value)
+        ok = sum(c.isalpha() for c in value) >= 2 and digits == 0
     return (a, b) if ok else (a, a)
 
 
+def _group_before(text: str, a: int) -> int | None:
+    """Where the group of digits before place a begins, if one blank or hyphen joins it to what follows."""
+    if a < 2 or not text[a].isdigit() or text[a - 1] not in " -\u00a0" or not text[a - 2].isdigit():
+        return None
+    i = a - 2
+    while i > 0 and text[i - 1].isdigit():
+        i -= 1
+    return None if i > 0 and (text[i - 1].isalnum() or text[i - 1] in ".,/-") else i
+
+
+def _group_after(text: str, b: int) -> int | None:
+    if b + 1 >= len(text) or not text[b - 1].isdigit() or text[b] not in " -\u00a0" or not text[b + 1].isdigit():
+        return None
+    i = b + 1
+    while i + 1 < len(text) and text[i + 1].isdigit():
+        i += 1
+    return i + 1
+
+
 def _batches(texts: list[str], most: int = 2_000_000):
     """Consecutive texts of bounded length together, however long one of them is."""
     a, size = 0, 0
@@ -631,3 +459,9 @@ def masked(documents: DataFrame, model: Field | None = None) -> DataFrame:
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     return docs.mapInPandas(run, "doc_id long, masked_text string, n_masked long")
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    Path(__file__).with_name(WEIGHTS).write_bytes(pack_field(train(labelled(), epochs=8)))

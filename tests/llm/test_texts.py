@@ -1,7 +1,10 @@
 """One form of text, packing, leaks, personal data."""
 
 import random
+import re
 import unicodedata
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -163,6 +166,32 @@ def test_field_on_held_out_sentences():
     assert hit / found > 0.97 and hit / want > 0.96
 
 
+def _marked_lines(name):
+    for line in (Path(__file__).with_name(name)).read_text(encoding="utf-8").splitlines():
+        if line and not line.startswith("#"):
+            parts = re.split(r"(\[\[\w+:.*?\]\](?!\]))", line)
+            marks = [re.fullmatch(r"\[\[(\w+):(.*)\]\]", p) for p in parts]
+            yield _gold([(m[2], m[1]) if m else (p, "") for p, m in zip(parts, marks)])
+
+
+@pytest.mark.parametrize("name", ["pii_development.txt", "pii_development2.txt", "pii_heldout.txt"])
+def test_field_on_lines_written_by_hand(name):
+    model = pii.field()
+    hit, found, want = Counter(), Counter(), Counter()
+    for text, gold in _marked_lines(name):
+        got = set(pii.find([text], model)[0])
+        for c, spans in ((hit, got & gold), (found, got), (want, gold)):
+            c.update(k for _, _, k in spans)
+    assert sum(hit.values()) / sum(found.values()) >= 0.9 and sum(hit.values()) / sum(want.values()) >= 0.9
+    assert all(hit[k] / want[k] >= 0.85 and hit[k] / found[k] >= 0.8 for k in pii.KINDS)
+
+
+def test_stored_weights_are_whole():
+    model = pii.field()
+    again = pii.unpack_field(pii.pack_field(model))
+    assert again.known == model.known and np.array_equal(again.weights, model.weights) and np.array_equal(again.trans, model.trans)
+
+
 def test_viterbi_in_batches_equals_one_by_one():
     model = pii.field()
     texts = ["".join(t for t, _ in p) for p in pii.labelled(60, seed=5)]
