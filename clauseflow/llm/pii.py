@@ -371,6 +371,11 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
         while (n := _group_after(text, b)) is not None:
             b = n
     value = text[a:b]
+    if kind == "phone" and value[0] == "(" and ")" not in value:  # the bracket belongs to the sentence
+        a, value = a + 1, value[1:]
+    if kind == "email" and ". " in value:  # the end of a sentence
+        value = value[: value.index(". ")]
+        b = a + len(value)
     digits = sum(c.isdigit() for c in value)
     if kind == "email":
         ok = len(value) >= 5 and (any(c in "@＠" for c in value) or sum(not c.isalnum() for c in value) >= 3)

@@ -11,7 +11,7 @@ import random
 import re
 
 #: Sentences in the labelled table.
-TABLE_ROWS = 14000
+TABLE_ROWS = 20000
 
 _MEN = "Александр Алексей Анатолий Андрей Антон Артём Борис Вадим Валерий Василий Виктор Виталий Владимир Владислав Вячеслав Геннадий Георгий Григорий Даниил Денис Дмитрий Евгений Егор Иван Игорь Илья Кирилл Константин Лев Леонид Максим Марк Матвей Михаил Никита Николай Олег Павел Пётр Роман Руслан Семён Сергей Станислав Степан Тимур Фёдор Эдуард Юрий Яков Ринат Арсен".split()
 _WOMEN = "Александра Алина Алла Анастасия Анна Валентина Валерия Вера Вероника Виктория Галина Дарья Диана Евгения Екатерина Елена Жанна Зоя Инга Ирина Карина Кристина Ксения Лариса Лидия Любовь Людмила Маргарита Марина Мария Надежда Наталья Нина Оксана Ольга Полина Светлана София Тамара Татьяна Ульяна Элина Юлия Яна Гульнара".split()
@@ -161,6 +161,16 @@ WhatsApp {phone}, почта {email}.
 {F} на {oaddress} {f}.
 {F} на {oaddress}, {f}.
 {Fw} {fw}: {address}.
+{person} {f}.
+{person} {f}, {f}.
+{F} на имя {person}, {id}, {address}.
+{F}, {person}, {id}, {oaddress}.
+{F} ({email}) {f}.
+{F} ({email}), {f}.
+{F} {id}, {address}.
+{person}, {id}, {address}.
+{F} {person:g}, {id}, {address}, {f}.
+{Id}; {fw}: {address}.
 {Fw} {fw} {fw}: {person}.
 {Fw} {person:g} {f}.
 {Fw} {fw} {person} {f}.
@@ -231,6 +241,11 @@ The {ef} at {eaddress} {ef}.
 {Ef} {eid}, {ef}.
 {Ef} {eemail} {ef}.
 {Ew} {eperson} {ef}.
+{Ef} ({email}) {ef}.
+{Ef} ({eemail}) {ef}.
+{Verb} {eperson}, {ef}.
+{Verb} {eperson} {ef}.
+{Verb} {eperson}, {ew} {ephone} {ef}.
 {Ew} {ew} {eperson} {ef}.
 {Ew} {ew}: {eaddress}.
 """.strip().splitlines()
@@ -312,6 +327,25 @@ _NONE = """
 Счёт-фактура {n6} от {date} {f}.
 Договор № {n2}/{n4}-К {f}, счёт {n20} {f}.
 {F} в {W} {f}.
+{Fw} {n6} и {f} № {n2}-{n2} {f}.
+{F} {n7} {f}.
+{F} {W}-{n3}.
+{F} {W}. {F} {W}.
+{F} {W}. {F}.
+{F} {W}-{n4}, {f}.
+{F} {W}-{n2} {f} {W}-{n3}.
+{F} ({f} {W}-{n4}, {W}-{n3}).
+{F} ({fw} {W}-{n3}), {f}.
+{F} {fw} {W}-{n3}, {W}-{n4} и {W}-{n3}; {f}.
+{F} в {fw} {W}-{n3}, {f} {f}.
+{F} для {fw} {W}-{n4}, {W}-{n2}, {W}-{n3} {f}.
+{F} {fw} {W}-{n3} с {fw} в {W}-{n4}.
+{F} {fw} {lw}-{n3} ({fw} {lw}-{n4}) {f}.
+{CAPS}, {CAPS}, {CAPS}
+{CAPS} {W}-{n3}, {CAPS}
+{CAPS} ({CAPS}) {CAPS}.
+{HEAD}, {CAPS} {HEAD}
+{HEAD} «{W}-{n3}» {CAPS}
 {Role} {f} {f}.
 {Role} {of} {f}.
 """.strip().splitlines()
@@ -349,6 +383,15 @@ Street lights {ef}, {ef}.
 {ECAPS} {ECAPS}
 {Ef} to {Ew} {EN}.
 {Ef} in {EN} {EN} {ef}.
+{Ef} {EW}-{n3}, {ef} {EW}-{n4}.
+{Ef} {EW}. {Ef}.
+{Ef} {EN} {EW}. {Ef} {EW}.
+{Ef} {EW}. The {ef}.
+{Ew} {n2}-{n4} and {ew} {n6} {ef}.
+{Ew} {n8} {ef} {n2}-{n3}-{n2}.
+{Ef} ({ew} {EW}-{n3}, {EW}-{n2}) {ef}.
+{ECAPS} {ECAPS}, {ECAPS}
+{Verb} {ef} {ef}.
 The {EN} of {EN} {ef}.
 {Ef} the {EN} {EN} {EN} {ef}.
 """.strip().splitlines()
@@ -620,7 +663,7 @@ def _slot(r: random.Random, name: str) -> list[tuple[str, str]]:
         return [(_digits(r, int(name[1:])), "")]
     out = {
         "f": lambda: _filler(r, True), "F": lambda: _filler(r, True).capitalize(), "ef": lambda: _filler(r, False), "Ef": lambda: _filler(r, False).capitalize(),
-        "ew": lambda: _filler(r, False).split()[0], "Ew": lambda: _filler(r, False).split()[0].capitalize(), "EN": lambda: (r.choice(_EN_NOUNS) if r.random() < 0.7 else r.choice(_EN_STREETS)).capitalize(), "fw": lambda: _filler(r, True).split()[0], "Fw": lambda: _filler(r, True).split()[0].capitalize(), "role": lambda: r.choice(_ROLES).lower(), "Role": lambda: r.choice(_ROLES), "HEAD": lambda: " ".join(r.choice(_NOUNS + ["И", "О", "ПО", "В"]) for _ in range(r.randrange(2, 6))).upper(),
+        "lw": lambda: _made(r).lower(), "Verb": lambda: r.choice("Contact Call Ask Tell See Email Meet Visit Phone Write Send Inform Notify".split()), "ew": lambda: _filler(r, False).split()[0], "Ew": lambda: _filler(r, False).split()[0].capitalize(), "EN": lambda: (r.choice(_EN_NOUNS) if r.random() < 0.7 else r.choice(_EN_STREETS)).capitalize(), "fw": lambda: _filler(r, True).split()[0], "Fw": lambda: _filler(r, True).split()[0].capitalize(), "role": lambda: r.choice(_ROLES).lower(), "Role": lambda: r.choice(_ROLES), "HEAD": lambda: " ".join(r.choice(_NOUNS + ["И", "О", "ПО", "В"]) for _ in range(r.randrange(2, 6))).upper(),
         "CAPS": lambda: _filler(r, True).upper(), "ECAPS": lambda: _filler(r, False).upper(), "W": lambda: _made(r), "EW": lambda: _made(r, False), "code": lambda: _code(r), "lat": lambda: _word(r, 2, False),
         "org": lambda: r.choice(("ООО", "АО", "ЗАО", "ПАО", "ИП")) + f" «{r.choice(_ORGS) if r.random() < 0.5 else _made(r)}»", "post": lambda: r.choice(_POSTS) + ("у" if case == "d" else ""), "Post": lambda: r.choice(_POSTS).capitalize(), "of": lambda: r.choice(_OF),
         "epost": lambda: r.choice(("manager", "accountant", "lawyer", "engineer", "director", "clerk", "auditor", "officer", "secretary", "analyst")),

@@ -210,3 +210,33 @@ def test_two_equal_explanations_stay_unlinked():
     n = names.Names([(1, "person", "Велозуган Фёдор Романович"), (2, "person", "Велозуган Филипп Романович")])
     assert n.match("Велозуган Ф.Р.") is None
     assert n.match("Велозуган Фёдор")[0] == 1
+
+
+def test_short_surnames():
+    n = names.Names([(1, "person", "Ким Олег Петрович"), (2, "person", "Цой Анна Ивановна"), (3, "person", "Ли Вера Олеговна"), (4, "person", "Ю Пётр Ильич"), (5, "person", "Рогов Семён Ильич")])
+    for text, want in [("Ким О.П.", 1), ("КИМ ОЛЕГ ПЕТРОВИЧ", 1), ("Цой А.И.", 2), ("Ли В.О.", 3), ("Ю Пётр Ильич", 4), ("Кин Олег Петрович", 1), ("Рокоф Семён Ильич", 5)]:
+        assert (n.match(text) or [None])[0] == want, text
+    assert n.match("Рокоф С.И.") is None and n.match("Пак О.П.") is None
+
+
+def test_shards_change_nothing(spark):
+    r = random.Random(3)
+    units = [(k, "unit", f"{r.choice(('Отдел', 'Служба', 'Управление'))} {a} {b}") for k, (a, b) in enumerate((a, b) for a in ("учёта", "проверки", "закупок", "ремонта") for b in ("складов", "договоров", "запасов"))]
+    people = [(100 + k, "person", f"{s} {f} {o}") for k, (s, f, o) in enumerate((s, f, o) for s in ("Ли", "Велозуган", "Велозугин", "Каримов") for f in ("Фёдор", "Филипп") for o in ("Романович", "Ильич"))]
+    rows = units + people
+    spellings = [n for _, _, n in rows] + ["Велозуган Ф.Р.", "Велозугин Фёдор Р.", "Ли Ф.И.", "Ли Филипп Ильич", "отд. учета складов", "Служба учёта складв", "ОУС", "Каримв Федя Ильич", "Велозуган Ф.", "учёта складов отдел", "Никто", None]
+    registry = spark.createDataFrame(rows, "entity_id long, kind string, name string")
+    df = spark.createDataFrame([(s,) for s in spellings], "spelling string")
+    one = {tuple(x) for x in names.match_spellings(df, registry).collect()}
+    n = names.Names(rows)
+    official = {i: name for i, _, name in rows}
+    assert one == {(s, n.match(s)[0], official[n.match(s)[0]]) for s in spellings if s and n.match(s)}
+    for size, task in ((1, 1000), (3, 4), (7, 2)):
+        assert one == {tuple(x) for x in names.match_spellings(df, registry, size, task).collect()}
+
+
+def test_trie_beginnings():
+    words = ["отдел", "отделение", "департамент", "деление"]
+    t = names.Trie(words)
+    assert sorted(t.starting("отдел")) == ["отдел", "отделение"] and t.starting("я") == [] and len(t.starting("")) == 4
+    assert t.begun("отдл", 1) == ["отдел", "отделение"]
