@@ -66,9 +66,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks with the longest run of words in common."""
-    leaks = leakage.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
-    return leaks.select("doc_id", "item_id", "run_words", F.round("score", 3).alias("score"))
+    """Leaks with the longest run of words in common, the share of the question's runs, and whether the answer stands there too."""
+    leaks = leakage.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text", "answer"))
+    return leaks.select("doc_id", "item_id", "run_words", F.round("score", 3).alias("score"), F.round("question_share", 4).alias("question_share"), "answer_found")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +106,24 @@ ORACLE = {
         i AS (SELECT DISTINCT item_id, array_to_string(v[CAST(k AS BIGINT):CAST(k AS BIGINT) + 12], ' ') AS run FROM v, unnest(range(1, len(v) - 11)) AS u(k)),
         d AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(k AS BIGINT):CAST(k AS BIGINT) + 12], ' ') AS run FROM w, unnest(range(1, len(w) - 11)) AS u(k))
         SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
+    "p7_report": r"""
+        WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS v, regexp_extract_all(lower(coalesce(answer, '')), '[\p{L}\p{N}]+') AS a FROM eval_items WHERE text IS NOT NULL),
+        i AS (SELECT * FROM e WHERE len(v) >= 13),
+        ir AS (SELECT DISTINCT item_id, array_to_string(v[k:k + 12], ' ') AS run FROM i, unnest(range(1, len(v) - 11)) AS u(k)),
+        dr AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS run FROM d, unnest(range(1, len(w) - 11)) AS u(k)),
+        h AS (SELECT doc_id, item_id, k, run FROM dr JOIN ir USING (run)),
+        g AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS island FROM h),
+        longest AS (SELECT doc_id, item_id, max(n) + 12 AS run_words FROM (SELECT doc_id, item_id, island, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL),
+        share AS (SELECT h.doc_id, h.item_id, count(DISTINCT h.run) / min(t.n) AS question_share FROM h JOIN (SELECT item_id, count(*) AS n FROM ir GROUP BY 1) t USING (item_id) GROUP BY ALL),
+        tf AS (SELECT item_id, x, count(*) AS c FROM i, unnest(v) AS u(x) GROUP BY ALL),
+        df AS (SELECT x, count(*) AS df FROM tf GROUP BY 1),
+        al AS (SELECT count(*) AS n, avg(len(v)) AS mean FROM i),
+        imp AS (SELECT tf.item_id, tf.x, ln(1 + (al.n - df + 0.5) / (df + 0.5)) * c * 2.5 / (c + 1.5 * (0.25 + 0.75 * len(i.v) / al.mean)) AS impact FROM tf JOIN df USING (x) JOIN i USING (item_id), al),
+        p AS (SELECT DISTINCT doc_id, item_id, (k - 1) // 13 AS nth FROM h),
+        pw AS (SELECT DISTINCT p.doc_id, p.item_id, p.nth, x FROM p JOIN d USING (doc_id), unnest(w[nth * 13 + 1:nth * 13 + 25]) AS u(x)),
+        best AS (SELECT doc_id, item_id, max(s) AS score FROM (SELECT doc_id, item_id, nth, sum(impact) AS s FROM pw JOIN imp USING (item_id, x) GROUP BY ALL) GROUP BY ALL)
+        SELECT doc_id, item_id, run_words, round(score, 3) AS score, round(question_share, 4) AS question_share,
+            len(i.a) > 0 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.a, ' ') || ' ') AS answer_found
+        FROM longest JOIN share USING (doc_id, item_id) JOIN best USING (doc_id, item_id) JOIN d USING (doc_id) JOIN i USING (item_id)""",
 }

@@ -129,12 +129,48 @@ def test_leaks_equal_brute_force():
             w[len(w) // 2 : len(w) // 2] = src[a : a + r.choice((12, 13, 14, 30))]
         docs.append((d, "  ".join(x.upper() if r.random() < 0.3 else x for x in w).replace("  ", r.choice((" ", ", ", "\n- ")))))
     docs.append((999, "a " * 13))
-    index = leakage.Index(items)
-    got = {(docs[d][0], i) for d, i, _, _ in index.search([t for _, t in docs])}
+    index = leakage.Index([(i, leakage.words(t)) for i, t in items])
+    got = {(docs[d][0], int(index.ids[j])) for d, j, *_ in index.search([t for _, t in docs])}
     assert got == _brute_leaks(docs, items)
     assert len(got) > 20
 
 
+def test_scores_equal_brute_force_bm25():
+    r = random.Random(2)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, [r.choice(vocab) for _ in range(r.randrange(13, 60))]) for k in range(200)]
+    index = leakage.Index(items)
+    n, mean = len(items), sum(len(w) for _, w in items) / len(items)
+    df = Counter(x for _, w in items for x in set(w))
+    codes = np.array([r.randrange(len(index.vocab) + 1) for _ in range(5000)] + index.seqs[3].tolist(), np.int32)
+    starts = np.arange(0, len(codes) - 25, 13)
+    got = {(int(p), int(j)): s for p, j, s in zip(*index.passages(codes, starts, starts + 25))}
+    names = [*index.vocab, "?"]
+    want = {}
+    for p, a in enumerate(starts):
+        passage = {names[c] for c in codes[a : a + 25]}
+        for j, (_, w) in enumerate(items):
+            tf = Counter(w)
+            s = sum(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.5 / (tf[x] + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in passage & set(w))
+            if s >= index.least[j]:
+                want[p, j] = s
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_split_index_gives_the_same(spark):
+    r = random.Random(9)
+    vocab = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(30)), r.choice((None, "w1 w2", "w3"))) for k in range(40)] + [(7, " ".join(r.choice(vocab) for _ in range(20)), None)]
+    docs = [(d, " ".join(r.choice(vocab) for _ in range(20)) + " " + r.choice(items)[1] + " w3") for d in range(60)]
+    i, d = spark.createDataFrame(items, "item_id long, text string, answer string"), spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda df: sorted((*x[:3], round(x[3], 9), *x[4:]) for x in df.collect())
+    one = rows(leakage.leaks(d, i))
+    assert one == rows(leakage.leaks(d, i, index_postings=100))
+    assert {(a, b) for a, b, *_ in one} == _brute_leaks(docs, [(a, b) for a, b, _ in items])
+    assert {x[5] for x in one} == {True, False}
+
+
 def test_leaks_odd_rows(spark):
     text = " ".join(f"слово{k}" for k in range(20))
     items = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, "коротко", 0), (3, None, 0), (None, text, 0)], "item_id long, text string, doc_id int")
