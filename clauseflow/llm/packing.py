@@ -4,8 +4,8 @@ Texts are counted once with a public tokenizer; from then on only (id, size) mov
 capacity is cut: its full pieces are packs of their own, its rest is an item like any other. Items are spread by
 hash over shards of about SHARD_ITEMS, as many as the data needs, and each shard is packed by itself.
 
-A pack starts with the largest size left. The sizes that still fit, largest first, are the window
-of a subset-sum dynamic program over the multiset of sizes left: bit s of a big integer says that s can
+A pack starts with the largest size left. All sizes that still fit, largest first, go into
+a subset-sum dynamic program over the multiset of sizes left: bit s of a big integer says that s can
 be reached, a size with its count takes a few shifts, and the program stops once the remaining room is filled
 exactly. The highest bit within the room is chosen and counts of each size are traced back.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_right
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -26,29 +27,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published splitting pattern of that family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_ITEMS = 20_000
-WINDOW = 1000
 #: Kinds of container: a fixed, small list that the plan holds as constants.
 MOST_KINDS = 1000
 
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str = VOCABULARY):
-    """The tokenizer of a vocabulary file, loaded once a process."""
+def encoder(path: str = VOCABULARY, content: bytes | None = None):
+    """The tokenizer of a vocabulary file, built once a process; content: the file's bytes where they are at hand."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (Path(path).read_bytes() if content is None else content).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row whose id and text aren't null; an empty text has 0."""
+    """(doc_id, n_tokens) of every row whose id and text aren't null; an empty text has 0. The driver reads the vocabulary (about 1 MB)."""
+    content = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, content.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.fromiter((len(enc.encode_ordinary(t)) for t in pdf["text"]), np.int64, len(pdf))})
 
@@ -56,7 +57,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInPandas(run, "doc_id long, n_tokens long")
 
 
-def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> np.ndarray:
+def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The number of the pack of each item; sizes are at most the capacity, items of size 0 go to the first pack."""
     pack = np.zeros(len(sizes), np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -73,7 +74,7 @@ def fill(sizes: np.ndarray, capacity: int, window: int = WINDOW) -> np.ndarray:
         mask = (1 << (room + 1)) - 1
         reach, trail = 1, []
         hi = bisect_right(lengths, room)
-        for n in reversed(lengths[max(0, hi - window) : hi]):
+        for n in reversed(lengths[:hi]):
             k = min(left[n], room // n)
             if not k:
                 continue
