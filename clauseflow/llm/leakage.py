@@ -6,8 +6,9 @@ query, a batch at a time:
 
 * the pivot: words of a passage in ascending order of their largest impact; as long as their sum stays under the smallest
   limit they can't make a hit on their own, so only postings of the words from the pivot on are opened;
-* the block maxima: a block so found is left if the sum of its maxima over all words of the passage stays under the block's limit;
-* what is left is scored item by item, and every item above its own limit is retrieved (no top k).
+* the block maxima: a block so found is left if its maxima of these words, with what the words before the pivot may add, stay
+  under the block's limit; items of the other blocks are looked at the same way, with their own impacts and limits;
+* what is left is scored on all words, and every item above its own limit is retrieved (no top k).
 
 The limit loses nothing: for an item, the smallest sum of impacts over any RUN consecutive words of it is a
 lower bound for the score of any passage that holds such a run. Passages of 2 * RUN - 1 words start every RUN words, so each
@@ -52,12 +53,20 @@ class Postings:
         self.key, self.place, self.value = key[order], place[order].astype(np.int64), value[order]
         self.start = np.searchsorted(self.key, np.arange(n_words + 2, dtype=np.int64) * self.places)
 
-    def open(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of `word`, place) of all postings of the given words."""
+    def opened(self, row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, sum of values) over all postings of the given words of each row."""
         first, count = self.start[word], self.start[word + 1] - self.start[word]
-        which = np.repeat(np.arange(len(word)), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        return which, self.place[at]
+        at = np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+        key = np.repeat(row, count) * self.places + self.place[at]
+        size = (int(row[-1]) + 1) * self.places if len(row) else 0
+        if size <= 4 * len(key) + 4096:
+            total = np.bincount(key, self.value[at], size)
+            key = np.flatnonzero(total)
+            total = total[key]
+        else:
+            key, where = np.unique(key, return_inverse=True)
+            total = np.bincount(where, self.value[at], len(key))
+        return key // self.places, key % self.places, total
 
     def sums(self, w: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each row of words the sum of their values at a place."""
@@ -104,6 +113,7 @@ class Index:
         self.members = np.full((-(-len(items) // BLOCK), BLOCK), -1, np.int64)
         for j, b in enumerate(block_of):
             self.members[b, np.flatnonzero(self.members[b] < 0)[0]] = j
+        self.block_of = block_of
         self.block_least = np.array([self.least[m[m >= 0]].min() for m in self.members]) if len(items) else none
         self.exact = Postings(word, place, value, len(items), v)
         key = word * max(1, len(self.members)) + (block_of[place] if len(items) else place)
@@ -133,8 +143,9 @@ class Index:
         total = np.r_[0.0, np.cumsum(self.word_max[codes])]
         live = np.flatnonzero(total[ends] - total[starts] >= low * (1 - 1e-6) - 1e-6)  # repeated words counted: a bound
         out = []
-        for a in range(0, len(live), 8192):
-            part = live[a : a + 8192]
+        step = max(64, min(8192, 4_000_000 // len(self.members)))
+        for a in range(0, len(live), step):
+            part = live[a : a + step]
             spot = starts[part][:, None] + np.arange(self.passage)
             w = np.where(spot < ends[part][:, None], codes[np.minimum(spot, len(codes) - 1)], outside)
             w = np.sort(w, axis=1)
@@ -142,14 +153,20 @@ class Index:
             bound = self.word_max[w]
             order = np.argsort(bound, axis=1)
             w, bound = np.take_along_axis(w, order, 1), np.take_along_axis(bound, order, 1)
-            row, k = np.nonzero((np.cumsum(bound, axis=1) >= low) & (w != outside))  # from the pivot on
-            which, block = self.blocks.open(w[row, k])
-            pair = np.unique(row[which] * len(self.members) + block)
-            row, block = pair // len(self.members), pair % len(self.members)
-            keep = self.blocks.sums(w[row], block) >= self.block_least[block]
-            row, block = np.repeat(row[keep], BLOCK), block[keep]
-            item = self.members[block].ravel()
-            row, item = row[item >= 0], item[item >= 0]
+            upto = np.cumsum(bound, axis=1)
+            ahead = upto >= low  # from the pivot on
+            rest = np.where(ahead, 0, bound).sum(1)  # what the words before it may add at most
+            ahead &= w != outside
+            row, k = np.nonzero(ahead)
+            row, block, got = self.blocks.opened(row, w[row, k])
+            keep = got + rest[row] >= self.block_least[block]
+            open_ = np.zeros((len(w), len(self.members)), bool)
+            open_[row[keep], block[keep]] = True
+            ahead &= open_.any(1)[:, None]
+            row, k = np.nonzero(ahead)
+            row, item, got = self.exact.opened(row, w[row, k])
+            keep = (got + rest[row] >= self.least[item]) & open_[row, self.block_of[item]]
+            row, item = row[keep], item[keep]
             score = self.exact.sums(w[row], item)
             hit = score >= self.least[item]
             out.append((part[row[hit]], item[hit], score[hit]))
