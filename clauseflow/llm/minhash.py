@@ -1,7 +1,7 @@
 """Near-duplicate texts: circulant MinHash, banding, exact Jaccard.
 
-A text is reduced to its distinct character n-grams, each placed by a first permutation in one of
-2**16 slots. The second permutation is one fixed table; coordinate k of the signature is the
+A text is reduced to its distinct character n-grams, each placed by a first permutation in one of 2**16 slots (2**22 for texts of
+so many grams that they would fill them). The second permutation is one fixed table; coordinate k of the signature is the
 minimum over the text's slots of that table shifted circularly by k. All coordinates of an n-gram
 are thus one contiguous slice of the table, and a signature is the running minimum of such slices.
 
@@ -9,12 +9,17 @@ Bands of `rows` coordinates are hashed. What moves between executors is, for eac
 and bucket of hashes, one packed block: the keys and one-bit sketches of its texts once, then (hash,
 text) pairs. Within a bucket, texts that share a band are compared by their sketches, and only pairs
 that may reach the limit leave it; those are verified on the whole texts by exact Jaccard. Equal
-texts share a key and count once throughout, however many rows have them.
+texts share a key of 128 bits and count once throughout, however many rows have them.
+
+A band that very many different texts share (a boilerplate) would make one bucket quadratic. A bounded sample shows which values
+these are; their texts travel in blocks of their own, and every two blocks are compared in a task of their own. The
+sample decides only where texts are compared, never whether.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,14 @@ from pyspark.sql import functions as F
 from clauseflow.operators.graph import propagate_min
 from clauseflow.session import Shelf
 
-SLOT_BITS = 16
+#: Slots of ordinary and of long texts, in bits. A text is long from LONG distinct slots on; near that size it is signed both ways,
+#: since a pair may lie on both sides.
+SLOT_BITS = (16, 22)
+LONG = 8192
 SEED = 20240607
+#: A band value shared by more texts than this is compared block by block; found from a sample of so many texts.
+HEAVY = 16_384
+SAMPLE = 20_000
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
 BUCKET_RECORDS = 3_000_000
 #: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
@@ -60,13 +71,14 @@ def normalized(text):
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^\p{L}\p{N}]+", " "))
 
 
-def _table(coords: int) -> np.ndarray:
-    pi = np.random.default_rng(SEED).permutation(1 << SLOT_BITS).astype(np.uint16)
+@lru_cache(maxsize=4)
+def _table(coords: int, bits: int) -> np.ndarray:
+    pi = np.random.default_rng(SEED).permutation(1 << bits).astype(np.uint16 if bits <= 16 else np.uint32)
     return np.concatenate([pi, pi[:coords]])
 
 
-def _slots(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all n-grams of all texts one after another, and how many each text has (at least 1)."""
+def _hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all n-grams of all texts one after another, and how many each text has (at least 1)."""
     texts = [t if len(t) >= n else t.ljust(n, "\0") for t in texts]  # a short text is its own only gram
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -74,22 +86,21 @@ def _slots(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         h = (h ^ code[i : len(code) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    h = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     ends = np.cumsum(lens)
     keep = np.ones(len(h), bool)
     for i in range(1, n):  # grams that would run over the end of a text
         at = ends[:-1] - i
         keep[at[at < len(h)]] = False
-    return h[keep].astype(np.int64), lens - n + 1
+    return h[keep], lens - n + 1
 
 
-def signatures(texts: list[str], plan: Plan) -> np.ndarray:
-    """(texts, coords) of uint16."""
-    slots, counts = _slots(texts, plan.n)
-    view = np.lib.stride_tricks.sliding_window_view(_table(plan.coords), plan.coords)
+def _signed(h: np.ndarray, counts: np.ndarray, coords: int, bits: int) -> np.ndarray:
+    slots = (h >> np.uint64(64 - bits)).astype(np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(_table(coords, bits), coords)
     starts = np.cumsum(counts) - counts
     order = np.argsort(counts, kind="stable")
-    out = np.empty((len(texts), plan.coords), np.uint16)
+    out = np.empty((len(counts), coords), np.uint32)
     step = 128
     for a in range(0, len(order), step):  # texts of like length side by side, gram by gram
         rows = order[a : a + step]
@@ -102,10 +113,31 @@ def signatures(texts: list[str], plan: Plan) -> np.ndarray:
     return out
 
 
-def _bands(sig: np.ndarray, plan: Plan) -> np.ndarray:
-    """(texts, bands) of 64-bit hashes, different for each band."""
+def signatures(texts: list[str], plan: Plan) -> np.ndarray:
+    """(texts, coords): the ordinary signatures."""
+    return _signed(*_hashes(texts, plan.n), plan.coords, SLOT_BITS[0])
+
+
+def _all_signatures(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, long, coordinates) of each signature: one of every text, two of those whose size is near LONG."""
+    h, counts = _hashes(texts, plan.n)
+    ends = np.cumsum(counts)
+    size = counts.copy()
+    for i in np.flatnonzero(counts > LONG * plan.limit):  # only then may the distinct ones be as many
+        size[i] = len(np.unique(h[ends[i] - counts[i] : ends[i]] >> np.uint64(64 - SLOT_BITS[1])))
+    small, large = np.flatnonzero(size < LONG), np.flatnonzero(size >= LONG * plan.limit * 0.9)
+    out = []
+    for which, bits in ((small, SLOT_BITS[0]), (large, SLOT_BITS[1])):
+        if len(which):
+            part = h if len(which) == len(texts) else np.concatenate([h[ends[i] - counts[i] : ends[i]] for i in which])
+            out.append((which, np.full(len(which), bits != SLOT_BITS[0]), _signed(part, counts[which], plan.coords, bits)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _bands(sig: np.ndarray, long: np.ndarray, plan: Plan) -> np.ndarray:
+    """(signatures, bands) of 64-bit hashes, different for each band and kind of signature."""
     x = sig[:, : plan.bands * plan.rows].reshape(len(sig), plan.bands, plan.rows).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, plan.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), x.shape[:2]).copy()
+    h = (np.arange(1, plan.bands + 1, dtype=np.uint64)[None, :] + long.astype(np.uint64)[:, None] * np.uint64(1 << 20)) * np.uint64(0xD6E8FEB86659FD93)
     for i in range(plan.rows):
         h = (h ^ x[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
@@ -134,32 +166,53 @@ def _gaps(low: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gaps, rows
 
 
-def _pack(plan: Plan, buckets: int):
+def _first_of(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """The place of one row of each distinct key, in the order of keys."""
+    order = np.lexsort((k2, k1))
+    a, b = k1[order], k2[order]
+    return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
+
+
+def _pack(plan: Plan, buckets: int, heavy: np.ndarray):
+    """Blocks of (bucket, hashes); a block of one heavy value has the bucket -1 - its place."""
+
+    def parts(batch):
+        k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("t")
+        first = np.sort(_first_of(k1, k2))
+        for at in range(0, len(first), 1 << 13):
+            part = first[at : at + (1 << 13)]
+            yield k1[part], k2[part], texts.take(pa.array(part)).to_pylist()
+
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column("key").to_numpy(), batch.column("t")
-            first = np.unique(keys, return_index=True)[1]
-            for at in range(0, len(first), 1 << 14):
-                part = np.sort(first[at : at + (1 << 14)])
-                sig = signatures(texts.take(pa.array(part)).to_pylist(), plan)
-                key, sketch, h = keys[part], _sketch(sig, plan), _bands(sig, plan).ravel()
+            for k1, k2, texts in parts(batch):
+                text, long, sig = _all_signatures(texts, plan)
+                key, sketch, h = np.stack([k1, k2], 1)[text], _sketch(sig, plan), _bands(sig, long, plan)
+                ids, blocks = [], []
+                row = np.repeat(np.arange(len(text), dtype=np.uint64), plan.bands)
+                h = h.ravel()
+                if len(heavy):
+                    place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    hit = heavy[place] == h
+                    for v in np.unique(place[hit]).tolist():
+                        r = np.unique(row[hit & (place == v)]).astype(np.int64)
+                        ids.append(-1 - v)
+                        blocks.append(b"".join(y.tobytes() for y in (np.array([len(r), 0], np.int64), key[r], sketch[r])))
+                    h, row = h[~hit], row[~hit]
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 low = h & np.uint64((1 << HASH_BITS) - 1)
-                row = np.repeat(np.arange(len(part), dtype=np.uint64), plan.bands)
                 rec = np.sort((bucket << np.uint64(HASH_BITS + 14)) | (low << np.uint64(14)) | row)
                 cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 14))
                 low = (rec >> np.uint64(14)) & np.uint64((1 << HASH_BITS) - 1)
                 row = (rec & np.uint64((1 << 14) - 1)).astype(np.int64)
-                ids, blocks = [], []
-                for b in range(buckets):
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
                     r, x = row[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]]
-                    if len(r):
-                        there = np.zeros(len(part), bool)
-                        there[r] = True
-                        gaps, r = _gaps(x, (np.cumsum(there) - 1)[r])
-                        head = np.array([there.sum(), len(r)], np.int64)
-                        ids.append(b)
-                        blocks.append(b"".join(y.tobytes() for y in (head, key[there], sketch[there], gaps, r)))
+                    there = np.zeros(len(text), bool)
+                    there[r] = True
+                    gaps, r = _gaps(x, (np.cumsum(there) - 1)[r])
+                    head = np.array([there.sum(), len(r)], np.int64)
+                    ids.append(b)
+                    blocks.append(b"".join(y.tobytes() for y in (head, key[there], sketch[there], gaps, r)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
@@ -168,8 +221,8 @@ def _pack(plan: Plan, buckets: int):
 def _unpack(block: bytes, words: int):
     n, m = np.frombuffer(block, np.int64, 2)
     at = 16
-    key = np.frombuffer(block, np.int64, n, at)
-    at += 8 * n
+    key = np.frombuffer(block, np.int64, 2 * n, at).reshape(n, 2)
+    at += 16 * n
     sketch = np.frombuffer(block, np.uint64, n * words, at).reshape(n, words)
     at += 8 * n * words
     low, row = np.cumsum(np.frombuffer(block, np.uint16, m, at), dtype=np.uint64), np.frombuffer(block, np.uint16, m, at + 2 * m)
@@ -177,27 +230,36 @@ def _unpack(block: bytes, words: int):
     return key, sketch, low[real], row[real]
 
 
-def _compare(plan: Plan):
-    most = plan.most_apart
+_PAIR = "a1 long, a2 long, b1 long, b2 long"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Two columns of keys, the smaller key first."""
+    swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    lo, hi = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+    return {"a1": lo[:, 0], "a2": lo[:, 1], "b1": hi[:, 0], "b2": hi[:, 1]}
+
+
+def _near(x: np.ndarray, y: np.ndarray, plan: Plan) -> np.ndarray:
+    apart = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]), np.int32)
+    for w in range(plan.sketch_words):
+        apart += np.bitwise_count(x[..., w] ^ y[..., w])
+    return apart <= plan.most_apart
 
-    def near(sketch, a, b):
-        apart = np.zeros(len(a), np.int64)
-        for w in range(plan.sketch_words):
-            apart += np.bitwise_count(sketch[a, w] ^ sketch[b, w])
-        return apart <= most
 
+def _compare(plan: Plan):
     def run(table: pa.Table) -> pa.Table:
         keys, sketches, hashes, docs, base = [], [], [], [], 0
         for block in table.column("block"):
             k, s, x, r = _unpack(block.as_py(), plan.sketch_words)
             keys.append(k), sketches.append(s), hashes.append(x), docs.append(r.astype(np.int64) + base)
             base += len(k)
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")
-        new = np.r_[True, keys[order][1:] != keys[order][:-1]]
-        back = np.empty(len(keys), np.int64)
+        key, sketch = np.concatenate(keys), np.concatenate(sketches)
+        order = np.lexsort((key[:, 1], key[:, 0]))  # a text that several batches have is one
+        new = np.r_[True, (key[order[1:]] != key[order[:-1]]).any(1)]
+        back = np.empty(len(key), np.int64)
         back[order] = np.cumsum(new) - 1
-        key, sketch = keys[order[new]], np.concatenate(sketches)[order[new]]
+        key, sketch = key[order[new]], sketch[order[new]]
         rec = _distinct((np.concatenate(hashes) << np.uint64(32)) | back[np.concatenate(docs)].astype(np.uint64))
         h, doc = rec >> np.uint64(32), (rec & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -211,7 +273,7 @@ def _compare(plan: Plan):
                 break
             for c in range(0, len(at), 1 << 18):
                 a, b = doc[at[c : c + (1 << 18)]], doc[at[c : c + (1 << 18)] + d]
-                ok = near(sketch, a, b)
+                ok = _near(sketch[a], sketch[b], plan)
                 a, b = a[ok], b[ok]
                 found.append((np.minimum(a, b).astype(np.uint64) << np.uint64(32)) | np.maximum(a, b).astype(np.uint64))
                 held += len(a)
@@ -220,21 +282,65 @@ def _compare(plan: Plan):
                 held = 0
             d += 1
         pair = _distinct(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        a, b = key[(pair >> np.uint64(32)).astype(np.int64)], key[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table(_pairs(key[(pair >> np.uint64(32)).astype(np.int64)], key[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+
+    return run
+
+
+def _compare_blocks(plan: Plan):
+    """Pairs of texts of two blocks of one heavy value."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                (ka, sa, *_), (kb, sb, *_) = _unpack(x.as_py(), plan.sketch_words), _unpack(y.as_py(), plan.sketch_words)
+                for c in range(0, len(ka), 256):
+                    i, j = np.nonzero(_near(sa[c : c + 256, None], sb[None], plan))
+                    a, b = ka[i + c], kb[j]
+                    other = (a != b).any(1)
+                    if other.any():
+                        yield pa.RecordBatch.from_pydict(_pairs(a[other], b[other]))
 
     return run
 
 
-def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None) -> DataFrame:
-    """texts: (key BIGINT, t STRING), equal texts under one key. Gives (a, b), a < b: pairs of keys worth verifying.
+def _heavy_values(texts: DataFrame, plan: Plan, rows: int, heavy: int, sample: int) -> np.ndarray:
+    """Band values that, by a sample of about `sample` texts, more than `heavy` texts share; at most sample * bands / 4 of them."""
+    if rows <= heavy:
+        return np.empty(0, np.uint64)
+    share = min(1.0, sample / rows)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                text, long, sig = _all_signatures(batch.column("t").to_pylist(), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(_bands(sig, long, plan).ravel().view(np.int64))], names=["h"])
+
+    some = texts.select("t") if share == 1.0 else texts.select("t").sample(fraction=share, seed=1)
+    counts = some.distinct().mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") > max(4, heavy * share)).select("h").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None, heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
+    """texts: (key STRUCT<k1, k2: BIGINT>, t STRING), equal texts under one key. Gives (a1, a2, b1, b2): pairs of keys worth verifying.
 
     rows: about how many texts there are, where a count is at hand; it only sets the number of buckets.
     """
     rows = texts.count() if rows is None else rows
     buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
-    blocks = texts.mapInArrow(_pack(plan, buckets), "bucket int, block binary")
-    return blocks.groupBy("bucket").applyInArrow(_compare(plan), "a long, b long").distinct()
+    values = _heavy_values(texts, plan, rows, heavy, sample)
+    blocks = texts.select("key.k1", "key.k2", "t").mapInArrow(_pack(plan, buckets, values), "bucket int, block binary")
+    if len(values):
+        blocks = Shelf(texts.sparkSession, "bands").put(blocks)
+    # so many tasks as buckets: a task's share doesn't grow with the data
+    light = blocks.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare(plan), _PAIR)
+    if len(values):
+        own = blocks.filter("bucket < 0").withColumn("i", F.xxhash64("block"))
+        tasks = own.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m + 1) div 2"))).first()[0] or 1
+        two = own.select("bucket", "i", F.col("block").alias("x")).join(own.select("bucket", F.col("i").alias("j"), F.col("block").alias("y")), "bucket").filter("i <= j")
+        light = light.unionByName(two.select("x", "y").repartition(min(int(tasks), 20_000)).mapInArrow(_compare_blocks(plan), _PAIR))
+    return light.distinct()
 
 
 def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,42 +392,42 @@ def _verify(n: int):
     def run(batches):
         for x in batches:
             s = jaccard(x.column("ta").to_pylist(), x.column("tb").to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("a1", "a2", "b1", "b2")), pa.array(s, pa.float64())], names=["a1", "a2", "b1", "b2", "similarity"])
 
     return run
 
 
-def similar_texts(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None) -> DataFrame:
-    """(a, b, similarity) of the pairs of different normalised texts with Jaccard similarity >= plan.limit."""
-    pairs = candidate_pairs(texts, plan, rows)
-    reps = texts.groupBy("key").agg(F.first("t").alias("t"))
+def similar_texts(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None, **how) -> DataFrame:
+    """(a1, a2, b1, b2, similarity) of the pairs of different normalised texts with Jaccard similarity >= plan.limit."""
+    pairs = candidate_pairs(texts, plan, rows, **how)
+    reps = texts.groupBy("key.k1", "key.k2").agg(F.first("t").alias("t"))
     both = (
-        pairs.join(reps.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
-        .join(reps.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
+        pairs.join(reps.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("t").alias("ta")), ["a1", "a2"])
+        .join(reps.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("t").alias("tb")), ["b1", "b2"])
+        .select("a1", "a2", "b1", "b2", "ta", "tb")
     )
-    return both.mapInArrow(_verify(plan.n), "a long, b long, similarity double").filter(F.col("similarity") >= plan.limit)
+    return both.mapInArrow(_verify(plan.n), f"{_PAIR}, similarity double").filter(F.col("similarity") >= plan.limit)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, t) for rows whose id isn't null and whose text has a letter or digit."""
     t = df.select(F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    return t.select("id", F.xxhash64("t").alias("key"), "t")
+    return t.select("id", F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")).alias("key"), "t")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", plan: Plan = Plan(), **how) -> DataFrame:
     """(function_a, function_b), a < b: all pairs of different ids whose texts are at least plan.limit alike.
 
     Rows with a null id, or a text that is null or without letters and digits, are in no pair; repeated rows count once;
     a text shorter than n characters is its own only n-gram; texts are compared whole, however long.
     """
     rows = keyed(df, id_col, text_col)
-    similar = similar_texts(rows.select("key", "t"), plan, df.count())
-    member = rows.select("key", "id").distinct()
-    same = member.join(member.select("key", F.col("id").alias("id2")), "key").filter("id < id2").select(F.col("id").alias("function_a"), F.col("id2").alias("function_b"))
-    a = member.select(F.col("key").alias("a"), F.col("id").alias("x"))
-    b = member.select(F.col("key").alias("b"), F.col("id").alias("y"))
-    cross = similar.join(a, "a").join(b, "b").select(F.least("x", "y").alias("function_a"), F.greatest("x", "y").alias("function_b"))
+    similar = similar_texts(rows.select("key", "t"), plan, df.count(), **how)
+    member = rows.select("key.k1", "key.k2", "id").distinct()
+    same = member.join(member.select("k1", "k2", F.col("id").alias("id2")), ["k1", "k2"]).filter("id < id2").select(F.col("id").alias("function_a"), F.col("id2").alias("function_b"))
+    a = member.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("id").alias("x"))
+    b = member.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("id").alias("y"))
+    cross = similar.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select(F.least("x", "y").alias("function_a"), F.greatest("x", "y").alias("function_b"))
     return cross.unionByName(same).filter("function_a <> function_b").distinct()
 
 
@@ -333,11 +439,13 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "te
     """
     rows = keyed(df, id_col, text_col)
     shelf = Shelf(df.sparkSession, "near-groups")
-    links = shelf.put(similar_texts(rows.select("key", "t"), plan, df.count()).select("a", "b"))
+    node = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
+    links = shelf.put(similar_texts(rows.select("key", "t"), plan, df.count()).select(node("a").alias("a"), node("b").alias("b")))
     labels = propagate_min(links.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf)
     n = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    member = shelf.put(rows.select("key", "id").distinct().join(labels.select(F.col("node").alias("key"), "label"), "key", "left").join(n, "key", "left"))
-    member = member.select("id", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_key = labels.select(F.col("node").alias("key"), "label").join(n, "key").select("key.*", "label", "n_links")
+    member = shelf.put(rows.select("key.k1", "key.k2", "id").distinct().join(of_key, ["k1", "k2"], "left"))
+    member = member.select("id", F.coalesce("label", node("k")).alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     low = member.groupBy("label").agg(F.min("id").alias("group_id"))
     of = member.join(low, "label").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"))
     every = df.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().join(of, "id", "left")

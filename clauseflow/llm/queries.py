@@ -10,12 +10,12 @@ from clauseflow.sources.tables import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicate_pairs(table(spark, sf_dir, "org_functions", "id", "text"))
+    return minhash.near_duplicate_pairs(table(spark, sf_dir, "org_functions").select("id", "text"))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each function's group of near-duplicates."""
-    return minhash.near_duplicate_groups(table(spark, sf_dir, "org_functions", "id", "text"))
+    return minhash.near_duplicate_groups(table(spark, sf_dir, "org_functions").select("id", "text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

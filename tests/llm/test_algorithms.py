@@ -240,3 +240,31 @@ def test_trie_beginnings():
     t = names.Trie(words)
     assert sorted(t.starting("отдел")) == ["отдел", "отделение"] and t.starting("я") == [] and len(t.starting("")) == 4
     assert t.begun("отдл", 1) == ["отдел", "отделение"]
+
+
+def test_bands_that_many_texts_share(spark):
+    """Texts of one boilerplate meet block by block; the pairs are those of the ordinary way."""
+    r = random.Random(8)
+    base = " ".join(r.choice(WORDS) for _ in range(40))
+    rows = [(f"{k:03d}", f"{base} {' '.join(r.choice(WORDS) for _ in range(r.randrange(0, 25)))} {k}") for k in range(150)] + [(f"x{k}", " ".join(r.choice(WORDS) for _ in range(12))) for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(5)
+    plain = {tuple(x) for x in minhash.near_duplicate_pairs(df).collect()}
+    assert plain == {tuple(x) for x in minhash.near_duplicate_pairs(df, heavy=20, sample=100).collect()}
+    want = _brute(rows)
+    assert len(plain & want) >= 0.99 * len(want) and plain <= want
+    texts = minhash.keyed(df, "id", "text").select("key", "t")
+    assert len(minhash._heavy_values(texts, minhash.Plan(), 210, 20, 100)) > 10
+
+
+def test_long_texts_do_not_fill_all_slots():
+    r = np.random.default_rng(4)
+    a, b = ("".join(chr(97 + c) for c in r.integers(0, 26, 300_000)) for _ in range(2))
+    c = a[:240_000] + b[:30_000]
+    text, long, sig = minhash._all_signatures([a, b, c, "коротко"], minhash.Plan())
+    assert text.tolist() == [3, 0, 1, 2] and long.tolist() == [False, True, True, True]
+    same = lambda x, y: float((sig[x] == sig[y]).mean())
+    grams = [{t[i : i + 4] for i in range(len(t) - 3)} for t in (a, b, c)]
+    for x, y in ((1, 2), (1, 3)):
+        assert abs(same(x, y) - len(grams[x - 1] & grams[y - 1]) / len(grams[x - 1] | grams[y - 1])) < 0.12
+    middle = "".join(chr(97 + k) for k in r.integers(0, 26, 6_500))
+    assert minhash._all_signatures([middle], minhash.Plan())[1].tolist() == [False, True]
