@@ -1,9 +1,12 @@
 """One form for text that looks the same: width, composition, look-alikes, invisible characters, blanks.
 
-A quick check finds the segments that the form may change: characters outside a set known to be stable under
-it (each normalises to itself and never composes with a neighbour). Only those segments, each with
-the one character before it that a combining mark could join, are rewritten; the rest of the text
-is spliced back as it was. Texts without such a segment never leave the JVM.
+A quick check finds the segments that the form may change. It rests on Unicode's normalization properties, read from the character
+database: a character is unstable if it isn't its own form (NFC quick check "no", invisible, wide, a blank of another kind, a
+look-alike), or may join the one before it ("maybe": it stands second in a composition, or is a combining mark). Only those segments,
+each with the one character before it that a mark could join, are rewritten; the rest of the text is spliced back as it was.
+
+Texts in which single letters are the only thing to change (all plain English ones) are translated inside the JVM; only texts with other
+unstable characters go to Python, each once.
 
 Case, ё and е, and everything else that is seen, stay different.
 """
@@ -14,7 +17,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,21 +31,13 @@ LOOKALIKE = {
     "‐": "-", "‑": "-", "⁃": "-", "˗": "-", "−": "-", "﹣": "-",
 }
 _LETTERS = str.maketrans(LOOKALIKE)
-
-#: Stable characters: ASCII without look-alike letters, Russian letters, common typographic signs. Written as the inside of a character class.
-STABLE = r"\t\n\r -@DFGLNQRUVWZ\[-`bdfghklmnqrtuvwz{-~А-яЁё«»№–—•…„“”"
-UNSTABLE = f"[^{STABLE}]"
-_SEGMENT = re.compile(f"(?s).?{UNSTABLE}+")
-
-
-def _blank(ch: str) -> bool:
-    return unicodedata.category(ch) == "Zs"
-
+# Letters and marks without a shape.
+INVISIBLE = "\u115f\u1160\u3164\u034f"
 
 def _one(ch: str) -> str:
     """One character without composition: invisible ones vanish, blanks and widths become one kind."""
     kind = unicodedata.category(ch)
-    if kind == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "ᅟᅠㅤ͏":
+    if kind == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ch in INVISIBLE:
         return ""
     if kind == "Zs":
         return " "
@@ -66,6 +61,40 @@ def _rewrite(segment: str) -> str:
     return unicodedata.normalize("NFC", apart.translate(_LETTERS))
 
 
+#: Code points in which characters may be unstable; the rest are ideographs, Hangul syllables and private ones.
+_RANGES = ((0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
+
+
+def unstable_ranges() -> list[tuple[int, int]]:
+    """First and last code points of the runs of unstable characters."""
+    joins: set[int] = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # Hangul vowels and finals
+    odd: set[int] = set()
+    for a, b in _RANGES:
+        for code in range(a, b):
+            ch = chr(code)
+            how = unicodedata.decomposition(ch)
+            parts = how.split()
+            if len(parts) == 2 and how[0] != "<" and unicodedata.normalize("NFC", ch) == ch:
+                joins.add(int(parts[1], 16))
+            if how or ch in LOOKALIKE or unicodedata.combining(ch) or unicodedata.category(ch) in ("Cf", "Zs") or ch in INVISIBLE or 0xFE00 <= code <= 0xFE0F:
+                if unicodedata.combining(ch) or _rewrite(ch) != ch:
+                    odd.add(code)
+    runs: list[list[int]] = []
+    for code in sorted(odd | joins):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return [tuple(r) for r in runs]
+
+
+UNSTABLE = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in unstable_ranges()) + "]"
+_SEGMENT = re.compile(f"(?s).?{UNSTABLE}+")
+#: The quick check inside the JVM: anything but letters and signs that stand alone and change as single ones or not at all.
+_ODD = r"[^\t\n\r -~А-яЁёІіЈјЅѕ«»№–—•…„“”‐‑−]"
+_FROM, _TO = "".join(c for c in LOOKALIKE if not re.match(_ODD, c)), "".join(v for c, v in LOOKALIKE.items() if not re.match(_ODD, c))
+
+
 def canonical_text(text: str | None) -> str | None:
     """The one form of a text; null stays null, a text of invisible characters becomes empty."""
     if text is None:
@@ -83,19 +112,21 @@ def _canonical(text: pd.Series) -> pd.Series:
     return text.map(canonical_text, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def _looks_contained(quote: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([canonical_text(q) in canonical_text(t) for q, t in zip(quote, text)], dtype="boolean")
+def _letters(text) -> Column:
+    return F.translate(text, _FROM, _TO)
+
+
+def _odd(text) -> Column:
+    return F.coalesce(text.rlike(_ODD), F.lit(False))
 
 
 def canonicalize(df: DataFrame, text_col: str, out_col: str = "canonical") -> DataFrame:
     """df with `out_col`, the one form of `text_col`; other columns stay.
 
-    Null gives null, empty gives empty. Only texts with an unstable segment go to Python.
+    Null gives null, empty gives empty. Only texts with other than single letters to change go to Python.
     """
-    odd = F.coalesce(F.col(text_col).rlike(UNSTABLE), F.lit(False))
-    clean = df.filter(~odd).withColumn(out_col, F.col(text_col))
-    return clean.unionByName(df.filter(odd).withColumn(out_col, _canonical(F.col(text_col))))
+    text = F.col(text_col)
+    return df.filter(~_odd(text)).withColumn(out_col, _letters(text)).unionByName(df.filter(_odd(text)).withColumn(out_col, _canonical(text)))
 
 
 def lookalike_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -107,7 +138,11 @@ def lookalike_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
     """
     c = citations.select("citation_id", F.col("clause_id").alias("id"), "quote").filter("quote IS NOT NULL AND id IS NOT NULL")
     t = clauses.select("id", "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    both = c.join(t, "id").filter(~F.contains("text", "quote"))
-    # a pair of texts that the form leaves alone can't become equal
-    both = both.filter(F.col("quote").rlike(UNSTABLE) | F.col("text").rlike(UNSTABLE))
-    return both.filter(_looks_contained("quote", "text")).select("citation_id").distinct()
+
+    def formed(df: DataFrame, col: str) -> DataFrame:  # the form only where the JVM can't make it again after the join
+        plain = df.filter(~_odd(F.col(col))).withColumn(f"{col}_form", F.lit(None).cast("string"))
+        return plain.unionByName(df.filter(_odd(F.col(col))).withColumn(f"{col}_form", _canonical(F.col(col))))
+
+    both = formed(c, "quote").join(formed(t, "text"), "id").filter(~F.contains("text", "quote"))
+    form = lambda col: F.coalesce(F.col(f"{col}_form"), _letters(F.col(col)))
+    return both.filter(F.contains(form("text"), form("quote"))).select("citation_id").distinct()
