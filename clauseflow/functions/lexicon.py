@@ -65,3 +65,45 @@ UNIT_KINDS = {
 }
 # A clause number's Latin letters that stand for Russian ones.
 NUMBER_LATIN, NUMBER_CYRILLIC = "abcehkmoptxy", "авсенкмортху"
+
+# How a performer begins (any case), abbreviations aside; where its phrase ends.
+PERFORMERS = (
+    "главн\\w*\\s+аудитор\\w* директор\\w* руководител\\w* начальник\\w* заместител\\w* менеджер\\w* аудитор\\w* куратор\\w* работник\\w* сотрудник\\w* специалист\\w* "
+    "департамент\\w* отдел\\w* управлени\\w* служб\\w* блок\\w* сектор\\w* групп\\w* центр\\w* обществ\\w* президент\\w* правлени\\w* совет\\w*\\s+директоров комитет\\w*"
+).split(" ")
+PERFORMER_ENDS = ["не\\s+вправе", "не\\s+имеют?\\s+права", "имеют?\\s+право", "вправе", "обязан\\w*", "долж[енны]+", "осуществля\\w*", "обеспечива\\w*", "нес[её]т", "несут", "отвечает", "отвечают", "[а-яё]+(?:ет|ют|ит|ят|ется|ются|ится|ятся)"]
+
+# Beginnings of auxiliary verbs and of acts, by what an act is.
+AUXILIARY_STEMS = "обеспеч осуществл организ координир провод проведен реализ выполн".split()
+ACT_CLASSES = {
+    "strong": "утвержд утверд подпис контрол проверя проверк провер(?:ит|ить|ять) аудир".split(),
+    "weak": "согласов визир".split(),
+    "initiate": "иницииру инициир вносит вносят вносить внесени предлага".split(),
+    "execute": (
+        "разраб созда формир составл подготов готов оформл внедр вед[еу]т вест веден учит учет регистр актуализ начисл расч исполн эксплуат обслуж заполн выда изда закуп "
+        "приобрет заключ оплач оплат выплач выплат перечисл инвентар архивир консолид сопровожд обраб принима принят"
+    ).split(),
+    "refer": "руководств соблюд примен использ ссыла следу изуча знаком".split(),
+    "other": "анализ представл направл запрашива взаимодейств информир консульт обуча монитор рассматр оцен выявл определ планир участ содейств".split(),
+}
+APPROVE_STEMS = "утвержд утверд".split()
+ADJECTIVE_ENDS = "ый ий ой ая яя ое ее ые ие ых их ым им ыми ими ую юю ого его ому ему ом ем".split()
+VERBAL_NOUN_ENDS = "ние тие нием тием".split()
+PAPERS = "акт план программ отчет график заключени протокол результат материал журнал реестр".split()
+PREPOSITIONS = "по при в во для без после до с со о об на за под через от из к".split()
+REFERENCE_TAILS = ["в соответствии с", "согласно", "на основании", "руководствуясь", "в порядке"]
+
+# Words that end a unit's name, and posts.
+UNIT_NAME_ENDS = (
+    "в во по с со на для от к ко о об при за из до а также или либо не как что который которая которые которого общества обществе обществом компании подчиняются подчиняется обязан обязаны "
+    "имеет имеют вправе осуществляет осуществляют является являются состоит входит входящие несет несут это"
+).split()
+UNIT_NAME_POSTS = "главный\\s+аудитор главные\\s+аудитор директор руководитель руководители менеджер аудитор заместитель заместители начальник президент специалист куратор работник сотрудник".split()
+
+# Words that say nothing of what a function acts on.
+RULE_STOP_WORDS = (
+    "в во и или либо на по с со для из от до при об о а также том числе т ч к ко за под над через между без после до его ее их её всех всего всей всем своей своих свой своего "
+    "общества общество обществе обществом компании имени рамках целях пределах соответствии соответствующих настоящим настоящего положением положения "
+    "установленном установленные установленных предусмотренном предусмотренных необходимых необходимые необходимой иных иные других другие прочих прочие "
+    "своевременно своевременную полноту надлежащее ответственности зоне"
+).split()

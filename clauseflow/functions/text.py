@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.functions import lexicon as L
@@ -17,6 +17,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def value_of(make, *values: str | None):
+    """What a column function gives for single strings; for a look at it, not for data."""
+    spark = SparkSession.builder.getOrCreate()
+    row = spark.range(1).select(make(*[F.lit(v).cast("string") for v in values]).alias("v")).first()[0]
+    return row.asDict() if hasattr(row, "asDict") else row
+
+
 def lower_e(text) -> Column:
     """Lower case, ё as е."""
     return F.replace(F.lower(_c(text)), F.lit("ё"), F.lit("е"))

@@ -444,7 +444,7 @@ def docx_round_trip(spark, d):
         for pdf in batches:
             yield pdf.assign(content=[docx.write_docx(list(p)) for p in pdf["paragraphs"]], path=[f"{i}.docx" for i in pdf["doc_id"]])[["path", "content"]]
 
-    scanned = docx.clauses_of_files(paras.mapInPandas(build, "path string, content binary"), "before")
+    scanned = docx.clauses_of_files(paras.mapInPandas(build, "path string, content binary"), "before", max_bytes=None)
     return scanned.groupBy("path").agg(F.count("id").alias("n_clauses"), F.count("number").alias("n_numbered"), F.count("error").alias("n_errors"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The table `name` of a data folder; a table may be one file or a folder of files.
 
-    With columns, only those are read, and a table of fewer parts than there are cores is spread over them: for
-    work that costs far more than moving the rows. Large tables come in many parts and are not moved.
+    With columns, only those are read, and rows are spread evenly, over as many parts as the table has files' parts, at least one a core:
+    for work on texts that costs far more than moving them (some hundred CPU seconds a GB against some ten), where one file of long
+    texts would else hold up a stage.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not columns:
@@ -17,4 +18,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     df = df.select(*columns)
     cores = spark.sparkContext.defaultParallelism
     parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts < cores else df
+    return df.repartition(max(cores, parts))
