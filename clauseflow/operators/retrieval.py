@@ -93,8 +93,9 @@ def fuse(pools: dict[str, DataFrame], exact: DataFrame, k: int = TOP_K, rrf_k: i
 def rank_candidates(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, pool: int = POOL, other_unit: bool = False) -> DataFrame:
     """Hybrid candidates of each query row: exact, lexical (BM25) and signature pools, fused.
 
-    queries and corpus: id, text, signature, unit_id. other_unit: only rows of another, known unit are candidates,
-    and never the row itself. Returns (query, id, score, reasons, rank).
+    queries and corpus: id, text, signature, unit_id and, where both have it, vector: then the nearest by cosine are a third pool; rows without
+    a vector, or of another dimension, aren't in it. other_unit: only rows of another, known unit are candidates, and never the row itself.
+    Returns (query, id, score, reasons, rank).
     """
     shelf = Shelf(corpus.sparkSession, "candidates")
 
@@ -118,7 +119,25 @@ def rank_candidates(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, pool:
     same = allowed(q.select("query", "query_unit", "sig").join(c.select("id", "unit", "sig"), "sig")).select(*pair).join(exact, pair, "left_anti")
     same = same.join(rest, pair, "left").select(*pair, F.coalesce("score", F.lit(0.0)).alias("score"))
     signature = top(same, pool, [F.desc("score"), F.asc("id")])
-    return fuse({"lexical": lexical, "signature": signature}, exact, k)
+    pools = {"lexical": lexical, "signature": signature}
+    if "vector" in queries.columns and "vector" in corpus.columns:
+        pools["dense"] = dense_pool(queries, corpus, exact, pool, other_unit)
+    return fuse(pools, exact, k)
+
+
+def dense_pool(queries: DataFrame, corpus: DataFrame, exact: DataFrame, pool: int = POOL, other_unit: bool = False) -> DataFrame:
+    """(query, id, cosine, rank): the nearest rows of each query by cosine, without exact matches."""
+    if not other_unit:
+        # exact matches take places that then fall free: so many more are looked at
+        most = exact.groupBy("query").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        found = cosine_top(queries.select("id", "vector"), corpus.select("id", "vector"), pool + most).drop("rank")
+        return top(found.join(exact, ["query", "id"], "left_anti"), pool, [F.desc("cosine"), F.asc("id")])
+    units = corpus.select("id", F.col("unit_id").alias("unit")).dropna().distinct()
+    of = queries.select(F.col("id").alias("query"), F.col("unit_id").alias("query_unit")).dropna().distinct()
+    own = units.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # rows of the own unit fall out behind the search
+    found = cosine_top(queries.select("id", "vector"), corpus.join(units.select("id"), "id", "left_semi").select("id", "vector"), pool + own).drop("rank")
+    found = found.join(of, "query").join(units, "id").filter("query_unit <> unit").join(exact, ["query", "id"], "left_anti")
+    return top(found.select("query", "id", "cosine"), pool, [F.desc("cosine"), F.asc("id")])
 
 
 def _block_pools(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, pool: int, other_unit: bool) -> pd.DataFrame:

@@ -312,3 +312,8 @@ ORACLE: dict[str, str] = {
         k AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS in_scope FROM r) SELECT doc_id, count(*) AS n_clauses, count(DISTINCT section) AS n_sections FROM k WHERE hit OR NOT in_scope GROUP BY doc_id""",
     "owner_groups": f"WITH {_F}, k AS (SELECT id, coalesce(unit_id, CASE WHEN {_key('executor')} <> '' THEN 'executor:' || {_key('executor')} END) AS owner FROM f) SELECT owner, count(DISTINCT id) AS n_functions FROM k WHERE owner IS NOT NULL GROUP BY owner",
 }
+
+
+from clauseflow.plans.decision_oracle import DECISIONS  # noqa: E402
+
+ORACLE |= DECISIONS

@@ -550,3 +550,6 @@ def late_arrivals(spark, d):
 def stream_arrivals(spark, d):
     """The same count as a stream: files as they come, repeats dropped within the watermark, windows of a day."""
     return arrivals.daily_counts(spark, f"{d}/org_functions.parquet", "recorded_at", "id")
+
+
+from clauseflow.plans import decision_queries  # noqa: E402, F401  registers its queries

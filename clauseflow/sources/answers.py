@@ -30,6 +30,43 @@ def write_answers(answers: DataFrame, folder: str, call: str) -> None:
     answers.write.mode("append").json(f"{folder}/{call}-lines")
 
 
+def read_recorded(spark: SparkSession, folder: str, call: str, schema: str) -> DataFrame:
+    """Answers appended by `write_answers`, one a key: the last in order of their fields where a key was answered several times."""
+    rows = spark.read.schema(f"key string, {schema}").json(f"{folder}/{call}-lines").filter("key IS NOT NULL")
+    rest = [c for c in rows.columns if c != "key"]
+    return rows.groupBy("key").agg(F.max(F.struct(*rest)).alias("a")).select("key", "a.*")
+
+
+def all_answers(spark: SparkSession, folder: str, call: str, schema: str) -> DataFrame:
+    """Stored answers, with the recorded ones in place of those of the same key."""
+    recorded = read_recorded(spark, folder, call, schema)
+    stored = read_answers(spark, folder, call, schema)[0]
+    return stored.join(recorded, "key", "left_anti").unionByName(recorded)
+
+
+def write_vectors(df: DataFrame, folder: str, model: str) -> None:
+    """Appends vectors (text, vector) of a model as JSON lines under the hash of their text; rows without a vector are left out."""
+    rows = df.filter("text IS NOT NULL AND size(vector) > 0").select(F.lit(model).alias("model"), T.text_sha256("text").alias("text_sha256"), F.col("vector").cast("array<double>").alias("vector"))
+    rows.distinct().write.mode("append").json(f"{folder}/lines")
+
+
+def recorded_vectors(spark: SparkSession, folder: str, model: str) -> DataFrame:
+    """(text_sha256, vector) of what `write_vectors` stored for a model, one a text."""
+    rows = spark.read.schema("model string, text_sha256 string, vector array<double>").json(f"{folder}/lines")
+    return rows.filter(F.col("model") == model).groupBy("text_sha256").agg(F.min("vector").alias("vector"))
+
+
+def strict_schema(df_schema) -> dict:
+    """A struct type as a JSON schema that allows no other fields and asks for all of its own."""
+    kind = df_schema.typeName()
+    if kind == "struct":
+        return {"type": "object", "properties": {f.name: strict_schema(f.dataType) for f in df_schema.fields}, "required": [f.name for f in df_schema.fields], "additionalProperties": False}
+    if kind == "array":
+        return {"type": "array", "items": strict_schema(df_schema.elementType)}
+    names = {"string": "string", "boolean": "boolean", "long": "integer", "integer": "integer", "short": "integer", "double": "number", "float": "number"}
+    return {"type": names.get(kind, "string")}
+
+
 def read_vectors(spark: SparkSession, folder: str, model: str) -> DataFrame:
     """(text_sha256, vector) of one model; files whose name isn't the hash they state are left out."""
     rows = spark.read.schema("model string, text_sha256 string, vector array<double>").json(f"{folder}/*.json", multiLine=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
