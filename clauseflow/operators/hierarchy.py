@@ -9,6 +9,10 @@ so a hierarchy H high needs about log2(H) passes on the way down, not H.
 
 Lists of descendants are rows (ancestor, descendant, distance), never an array in one
 row: one node may have a third of all nodes below it.
+
+Where only roots and depths are asked for (`roots_and_depths`), no path is carried, and chains of nodes with one child each are
+contracted between jobs of peeling, by doubling, so that a hierarchy however high is peeled in a number of rounds that grows with the
+logarithm of its nodes.
 """
 
 from __future__ import annotations
@@ -85,6 +89,112 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent") ->
     return out.select(F.col("id").alias("unit_id"), "parent_id", "root_id", "depth", F.when(F.col("depth") >= 0, F.col("chain")).alias("path"), F.col("size").alias("subtree_size"), "on_circle", "chain")
 
 
+def roots_and_depths(df: DataFrame, id_col: str = "id", parent_col: str = "parent", rounds: int = ROUNDS_A_JOB) -> DataFrame:
+    """(unit_id, root_id, depth), one row per distinct id, as `hierarchy` gives them.
+
+    Leaves are peeled `rounds` times a job; then chains of nodes with one child left are contracted to one edge that remembers its steps and
+    the smallest id it stands for. What is left once neither goes on are circles. Taken back in reverse order, each node finds root and
+    depth at the node its edge led to when it was taken out.
+    """
+    shelf = Shelf(df.sparkSession, "roots")
+    ids = shelf.put(_nodes(df, id_col, parent_col).withColumn("n", F.monotonically_increasing_id()))
+    linked = ids.join(ids.select(F.col("id").alias("p"), F.col("n").alias("pn")), "p", "left").select("n", "id", "pn")
+    kids = linked.filter("pn IS NOT NULL").groupBy(F.col("pn").alias("n")).agg(F.count("*").alias("pending"))
+    state = linked.join(kids, "n", "left").select("n", "id", "pn", F.coalesce("pending", F.lit(0)).alias("pending"), F.lit(1).cast("long").alias("steps"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("int").alias("peeled"))
+    taken: list[tuple[DataFrame, int]] = []  # (n, id, at, steps) and over how many layers its edges may lead
+    while True:
+        for k in range(rounds):
+            state = _strip(state, k + 1)
+        state, seen = shelf.put_seen(state, left=F.count(F.when(F.col("peeled").isNull(), 1)), gone=F.count("peeled"), single=F.count(F.when(F.col("peeled").isNull() & (F.col("pending") == 1), 1)))
+        if seen["gone"]:
+            taken.append((state.filter("peeled IS NOT NULL").select("n", "id", F.col("pn").alias("at"), "steps"), rounds))
+        state = state.filter("peeled IS NULL")
+        if not seen["left"]:
+            break
+        # fewer single nodes than half: at least a quarter are leaves by now
+        chains, state = _contracted(shelf, state, seen["single"]) if 2 * seen["single"] >= seen["left"] or not seen["gone"] else (None, state)
+        if chains is not None:
+            taken.append((chains, 1))
+        elif not seen["gone"]:
+            break
+    done = [shelf.put(_circle_roots(shelf, state))] if seen["left"] else []
+    for part, layers in reversed(taken):
+        done.append(shelf.put(_resolved(part, layers, done)))
+    out = ids.limit(0).select("n", "id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"))
+    for x in done:
+        out = out.unionByName(x)
+    return out.select(F.col("id").alias("unit_id"), "root_id", "depth")
+
+
+def _strip(state: DataFrame, round_no: int) -> DataFrame:
+    """One round: nodes with no child to come are taken out and tell their parent."""
+    leaf = F.col("peeled").isNull() & (F.col("pending") == 0)
+    none = lambda t: F.lit(None).cast(t)
+    me = F.struct("n", "id", "pn", "pending", "steps", "low", F.when(leaf, F.lit(round_no)).otherwise(F.col("peeled")).alias("peeled"))
+    up = F.struct(F.col("pn").alias("n"), none("string").alias("id"), none("long").alias("pn"), F.lit(-1).cast("long").alias("pending"), none("long").alias("steps"), none("string").alias("low"), none("int").alias("peeled"))
+    rows = state.select(F.inline(F.when(leaf & F.col("pn").isNotNull(), F.array(me, up)).otherwise(F.array(me))))
+    first = lambda c: F.max(c).alias(c)  # noqa: E731 - one row of a node has it, the others null
+    return rows.groupBy("n").agg(first("id"), first("pn"), F.sum("pending").alias("pending"), first("steps"), first("low"), first("peeled"))
+
+
+def _contracted(shelf: Shelf, state: DataFrame, single: int) -> tuple[DataFrame | None, DataFrame]:
+    """Nodes with one child left and a parent, taken out with an edge to the first node above that isn't one (None if there are none), and the
+    others, whose edges skip them. Circles of such nodes only stay."""
+    if not single:
+        return None, state
+    cur = shelf.put(state.filter("pending = 1 AND pn IS NOT NULL AND pn <> n").select("n", "id", F.col("pn").alias("at"), "steps", "low"))
+    chain = cur.select(F.col("n").alias("at"))
+    before = None
+    while True:
+        o = cur.select(F.col("n").alias("at"), F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+        hit = F.col("at2").isNotNull()
+        step = cur.join(o, "at", "left").select("n", "id", F.coalesce("at2", "at").alias("at"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("low", "low2", "id2").alias("low"), hit.alias("hit"))
+        step, seen = shelf.put_seen(step, hits=F.count(F.when(F.col("hit"), 1)))
+        cur = step.drop("hit")
+        if seen["hits"] == before:  # a chain's end is nearer for some node after each step; these go round
+            cur = cur.join(chain, "at", "left_anti")
+        if seen["hits"] in (0, before):
+            break
+        before = seen["hits"]
+    cur, seen = shelf.put_seen(cur, n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return None, state
+    over = cur.select(F.col("n").alias("pn"), F.col("id").alias("id2"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+    rest = state.join(cur.select("n"), "n", "left_anti").join(over, "pn", "left")
+    rest = rest.select("n", "id", F.coalesce("at2", "pn").alias("pn"), "pending", (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.least("low", "low2", "id2").alias("low"), "peeled")
+    return cur.select("n", "id", "at", "steps"), shelf.put(rest)
+
+
+def _circle_roots(shelf: Shelf, rest: DataFrame) -> DataFrame:
+    """(n, id, root_id, depth -1): the smallest id on each circle, by doubling steps along it; edges stand for what they skip."""
+    c = shelf.put(rest.select("n", "id", F.col("pn").alias("to"), F.least("id", "low").alias("low")))
+    while True:
+        o = c.select(F.col("n").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        c, seen = shelf.put_seen(c.join(o, "to").select("n", "id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), moved=F.count(F.when(F.col("moved"), 1)))
+        c = c.drop("moved")
+        if not seen["moved"]:
+            return c.select("n", "id", F.col("low").alias("root_id"), F.lit(-1).cast("long").alias("depth"))
+
+
+def _resolved(part: DataFrame, layers: int, done: list[DataFrame]) -> DataFrame:
+    """Root and depth of nodes taken out together, from those taken out later."""
+    # at: the nearest node above outside this part; null once a root leads the way, whose id is `top`
+    cur = part.select("n", "id", "at", F.when(F.col("at").isNotNull(), F.col("steps")).otherwise(F.lit(0)).alias("steps"), F.when(F.col("at").isNull(), F.col("id")).alias("top"))
+    span = 1
+    while span < layers:
+        o = cur.select(F.col("n").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("top").alias("top2"), F.lit(True).alias("hit"))
+        cur = cur.join(o, "at", "left").select("n", "id", F.when(F.col("hit"), F.col("at2")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.coalesce("top", "top2").alias("top"))
+        span *= 2
+    if not done:
+        return cur.select("n", "id", F.col("top").alias("root_id"), F.col("steps").alias("depth"))
+    above = done[0]
+    for x in done[1:]:
+        above = above.unionByName(x)
+    cur = cur.join(above.select(F.col("n").alias("at"), "root_id", F.col("depth").alias("d")), "at", "left")
+    depth = F.when(F.col("d").isNull(), F.col("steps")).when(F.col("d") < 0, F.lit(-1)).otherwise(F.col("d") + F.col("steps"))
+    return cur.select("n", "id", F.coalesce("top", "root_id").alias("root_id"), depth.cast("long").alias("depth"))
+
+
 def _peel(state: DataFrame, round_no: int) -> DataFrame:
     """One round: nodes with no child to come are peeled and send their size to their parent."""
     leaf = F.col("peeled").isNull() & (F.col("pending") == 0)

@@ -61,7 +61,7 @@ def asked(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 @query
 def p1_found(spark, d):
-    return hierarchy.hierarchy(table(spark, d, "units").select("id", "parent")).select("unit_id", "root_id", "depth")
+    return hierarchy.roots_and_depths(table(spark, d, "units").select("id", "parent"))
 
 
 @query

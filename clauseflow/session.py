@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def get_session(app: str = "clauseflow", cpus: int | str = "*") -> SparkSession:
@@ -71,6 +71,12 @@ class Shelf:
         out._shelf_path = path
         return out
 
+    def put_seen(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """`put`, and aggregates over the rows written, taken while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+        return out, seen.get
+
     def drop(self, *dfs: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from clauseflow.operators.graph import propagate_min
-from clauseflow.operators.hierarchy import descendants, hierarchy
+from clauseflow.operators.hierarchy import descendants, hierarchy, roots_and_depths
 
 
 def _expected(rows):
@@ -80,3 +80,42 @@ def test_propagate_min(spark):
     assert len(got) == len({x.node for x in got})
     assert {x.node: x.label for x in got} == {x: find(x) for x in f}
     assert propagate_min(df.limit(0)).count() == 0
+
+
+def _walked(rows):
+    parent = {}
+    for i, p in rows:
+        if i is not None:
+            parent[i] = min(filter(None, [parent.get(i), p if p and p.strip() else None]), default=None)
+    out = {}
+    for i in parent:
+        seen, at = [], i
+        while at in parent and parent[at] in parent and at not in seen:
+            seen.append(at)
+            at = parent[at]
+        if at in seen:
+            out[i] = (min(seen[seen.index(at) :]), -1)
+        else:
+            out[i] = (at, len(seen))
+    return out
+
+
+def test_roots_and_depths_of_random_forests(spark):
+    r = random.Random(12)
+    for n in (1, 2, 40, 40):
+        rows = [(f"n{k:03d}", r.choice([None, "", "zz", *[f"n{r.randrange(max(1, k - r.choice((1, 3, 60)))):03d}"] * 5, f"n{r.randrange(n):03d}"])) for k in range(n)]
+        rows += [(rows[0][0], rows[0][1]), (None, "n000")]
+        df = spark.createDataFrame([(i, p, "x") for i, p in rows], "id string, parent string, root_id string")
+        assert {x.unit_id: (x.root_id, x.depth) for x in roots_and_depths(df, rounds=2).collect()} == _walked(rows)
+    assert roots_and_depths(df.limit(0)).count() == 0
+
+
+def test_roots_and_depths_of_long_chains_and_circles(spark):
+    n = 500
+    chain = [(f"c{k:05d}", f"c{k - 1:05d}" if k else None) for k in range(n)]  # with a leaf at every node: a caterpillar
+    leaves = [(f"l{k:05d}", f"c{k:05d}") for k in range(0, n, 2)]
+    ring = [(f"r{k:04d}", f"r{(k + 1) % 150:04d}") for k in range(150)] + [("h0", "r0005"), ("h1", "h0"), ("h2", "h1"), ("h3", "r0100"), ("self", "self"), ("under", "self")]
+    rows = chain + leaves + ring
+    df = spark.createDataFrame(rows, "id string, parent string")
+    got = {x.unit_id: (x.root_id, x.depth) for x in roots_and_depths(df).collect()}
+    assert got == _walked(rows)
