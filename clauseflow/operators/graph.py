@@ -40,8 +40,8 @@ def propagate_min(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     e = shelf.put(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(hi.alias("u"), lo.alias("v")).distinct())
     mark = None
     while True:
-        step = shelf.put(_star(_star(e, True), False))
-        now = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # the same edges again: nothing moved
+        step, now = shelf.put_seen(_star(_star(e, True), False), n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         shelf.drop(e)
         e = step
         if now == mark:
