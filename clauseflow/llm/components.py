@@ -3,8 +3,8 @@
 The largest component of a match graph usually hangs on a hub. It is peeled off first: a
 breadth-first search runs from the vertex of the highest degree, each frontier a table joined
 to the edges, and what it reaches is anti-joined away. The rest are small components, labelled by
-propagating minima (operators.graph). If the search still goes on after MAX_HOPS frontiers
-(the hub stands in a long chain), what was reached shrinks to one vertex and takes part in the propagation: the
+propagating minima (operators.graph). The search goes on until its frontier is empty; only where the component is a chain of
+more than `max_hops` links from the hub, what was reached shrinks to one vertex and takes part in the propagation: the
 number of rounds is bounded, and no link is lost.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from clauseflow.operators.graph import propagate_min
 from clauseflow.session import Shelf
 
-MAX_HOPS = 8
+#: Links from the hub after which a search gives way to propagation, whose rounds grow with the logarithm of a chain.
+MAX_HOPS = 64
 
 
 def link_groups(links: DataFrame, one: str = "before_id", many: str = "after_ids", max_hops: int = MAX_HOPS) -> DataFrame:
@@ -42,23 +43,21 @@ def link_groups(links: DataFrame, one: str = "before_id", many: str = "after_ids
     frontier = shelf.put(spark.createDataFrame([(hub[0],)], sym.select("u").schema))
     reached, hops, open_end = frontier, 0, True
     while hops < max_hops:
-        new = shelf.put(sym.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct().join(reached, "u", "left_anti"))
+        new, seen = shelf.put_seen(sym.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct().join(reached, "u", "left_anti"), n=F.count(F.lit(1)))
         hops += 1
-        if new.limit(1).count() == 0:
+        if not seen["n"]:
             open_end = False
             break
         frontier, reached = new, reached.unionByName(new)
-    reached = shelf.put(reached)
-
-    low = reached.agg(F.min("u").alias("giant"))
+    reached, seen = shelf.put_seen(reached, low=F.min("u"))
+    label = seen["low"]
     rest = edges.join(reached.select("u"), "u", "left_anti")
     if open_end:  # the search was cut: its vertices become one, under their smallest id
-        giant = low.first()[0]
-        seen = reached.withColumn("in", F.lit(True))
-        a = edges.join(seen, "u", "left").select(F.when(F.col("in"), F.lit(giant)).otherwise(F.col("u")).alias("u"), "v")
-        rest = a.join(seen.select(F.col("u").alias("v"), "in"), "v", "left").select("u", F.when(F.col("in"), F.lit(giant)).otherwise(F.col("v")).alias("v"))
+        giant = label
+        inside = reached.withColumn("in", F.lit(True))
+        a = edges.join(inside, "u", "left").select(F.when(F.col("in"), F.lit(giant)).otherwise(F.col("u")).alias("u"), "v")
+        rest = a.join(inside.select(F.col("u").alias("v"), "in"), "v", "left").select("u", F.when(F.col("in"), F.lit(giant)).otherwise(F.col("v")).alias("v"))
     small = shelf.put(propagate_min(rest, shelf))
-    label = low.first()[0]  # one value
     if open_end:
         above = small.filter(F.col("node") == label).select("label").first()
         small = small.filter(F.col("node") != label)
