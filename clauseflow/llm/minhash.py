@@ -9,7 +9,7 @@ Bands of `rows` coordinates are hashed. What moves between executors is, for eac
 and bucket of hashes, one packed block: the keys and one-bit sketches of its texts once, then (hash,
 text) pairs. Within a bucket, texts that share a band are compared by their sketches, and only pairs
 that may reach the limit leave it; those are verified on the whole texts by exact Jaccard. Equal
-texts share a key of 128 bits and count once throughout, however many rows have them.
+texts share a key of 96 bits and count once throughout, however many rows have them.
 
 A band that very many different texts share (a boilerplate) would make one bucket quadratic. A bounded sample shows which values
 these are; their texts travel in blocks of their own, and every two blocks are compared in a task of their own. The
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.operators.graph import propagate_min
@@ -36,7 +36,7 @@ LONG = 8192
 SEED = 20240607
 #: A band value shared by more texts than this is compared block by block; found from a sample of so many texts.
 HEAVY = 16_384
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
 BUCKET_RECORDS = 3_000_000
 #: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
@@ -166,6 +166,9 @@ def _gaps(low: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gaps, rows
 
 
+_KEY = np.dtype([("k1", "<i8"), ("k2", "<i4")])
+
+
 def _first_of(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     """The place of one row of each distinct key, in the order of keys."""
     order = np.lexsort((k2, k1))
@@ -173,8 +176,22 @@ def _first_of(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
 
 
-def _pack(plan: Plan, buckets: int, heavy: np.ndarray):
+def _even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """Numbers that hash partitioning over n parts puts into parts 0, 1, ..., n - 1: a task a bucket, none with two or three."""
+    if n == 1:
+        return np.zeros(1, np.int64)
+    room = 16 * n
+    while True:
+        k = F.col("id").cast("int")
+        found = spark.range(room).groupBy(F.pmod(F.hash(k), F.lit(n)).alias("part")).agg(F.min(k).alias("k")).collect()
+        if len(found) == n:
+            return np.array([r["k"] for r in sorted(found, key=lambda r: r["part"])], np.int64)
+        room *= 4
+
+
+def _pack(plan: Plan, buckets: np.ndarray, heavy: np.ndarray):
     """Blocks of (bucket, hashes); a block of one heavy value has the bucket -1 - its place."""
+    names, buckets = buckets.tolist(), len(buckets)
 
     def parts(batch):
         k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("t")
@@ -187,7 +204,8 @@ def _pack(plan: Plan, buckets: int, heavy: np.ndarray):
         for batch in batches:
             for k1, k2, texts in parts(batch):
                 text, long, sig = _all_signatures(texts, plan)
-                key, sketch, h = np.stack([k1, k2], 1)[text], _sketch(sig, plan), _bands(sig, long, plan)
+                key, sketch, h = np.empty(len(text), _KEY), _sketch(sig, plan), _bands(sig, long, plan)
+                key["k1"], key["k2"] = k1[text], k2[text]
                 ids, blocks = [], []
                 row = np.repeat(np.arange(len(text), dtype=np.uint64), plan.bands)
                 h = h.ravel()
@@ -211,7 +229,7 @@ def _pack(plan: Plan, buckets: int, heavy: np.ndarray):
                     there[r] = True
                     gaps, r = _gaps(x, (np.cumsum(there) - 1)[r])
                     head = np.array([there.sum(), len(r)], np.int64)
-                    ids.append(b)
+                    ids.append(names[b])
                     blocks.append(b"".join(y.tobytes() for y in (head, key[there], sketch[there], gaps, r)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
@@ -221,8 +239,8 @@ def _pack(plan: Plan, buckets: int, heavy: np.ndarray):
 def _unpack(block: bytes, words: int):
     n, m = np.frombuffer(block, np.int64, 2)
     at = 16
-    key = np.frombuffer(block, np.int64, 2 * n, at).reshape(n, 2)
-    at += 16 * n
+    key = np.frombuffer(block, _KEY, n, at)
+    at += _KEY.itemsize * n
     sketch = np.frombuffer(block, np.uint64, n * words, at).reshape(n, words)
     at += 8 * n * words
     low, row = np.cumsum(np.frombuffer(block, np.uint16, m, at), dtype=np.uint64), np.frombuffer(block, np.uint16, m, at + 2 * m)
@@ -230,14 +248,14 @@ def _unpack(block: bytes, words: int):
     return key, sketch, low[real], row[real]
 
 
-_PAIR = "a1 long, a2 long, b1 long, b2 long"
+_PAIR = "a1 long, a2 int, b1 long, b2 int"
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
     """Two columns of keys, the smaller key first."""
-    swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-    lo, hi = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-    return {"a1": lo[:, 0], "a2": lo[:, 1], "b1": hi[:, 0], "b2": hi[:, 1]}
+    swap = (a["k1"] > b["k1"]) | ((a["k1"] == b["k1"]) & (a["k2"] > b["k2"]))
+    lo, hi = np.where(swap, b, a), np.where(swap, a, b)
+    return {f"{side}{k}": np.ascontiguousarray(x[f"k{k}"]) for side, x in (("a", lo), ("b", hi)) for k in (1, 2)}
 
 
 def _near(x: np.ndarray, y: np.ndarray, plan: Plan) -> np.ndarray:
@@ -255,8 +273,8 @@ def _compare(plan: Plan):
             keys.append(k), sketches.append(s), hashes.append(x), docs.append(r.astype(np.int64) + base)
             base += len(k)
         key, sketch = np.concatenate(keys), np.concatenate(sketches)
-        order = np.lexsort((key[:, 1], key[:, 0]))  # a text that several batches have is one
-        new = np.r_[True, (key[order[1:]] != key[order[:-1]]).any(1)]
+        order = np.lexsort((key["k2"], key["k1"]))  # a text that several batches have is one
+        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
         back = np.empty(len(key), np.int64)
         back[order] = np.cumsum(new) - 1
         key, sketch = key[order[new]], sketch[order[new]]
@@ -297,7 +315,7 @@ def _compare_blocks(plan: Plan):
                 for c in range(0, len(ka), 256):
                     i, j = np.nonzero(_near(sa[c : c + 256, None], sb[None], plan))
                     a, b = ka[i + c], kb[j]
-                    other = (a != b).any(1)
+                    other = a != b
                     if other.any():
                         yield pa.RecordBatch.from_pydict(_pairs(a[other], b[other]))
 
@@ -323,14 +341,14 @@ def _heavy_values(texts: DataFrame, plan: Plan, rows: int, heavy: int, sample: i
 
 
 def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None, heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
-    """texts: (key STRUCT<k1, k2: BIGINT>, t STRING), equal texts under one key. Gives (a1, a2, b1, b2): pairs of keys worth verifying.
+    """texts: (key STRUCT<k1: BIGINT, k2: INT>, t STRING), equal texts under one key. Gives (a1, a2, b1, b2): pairs of keys worth verifying.
 
     rows: about how many texts there are, where a count is at hand; it only sets the number of buckets.
     """
     rows = texts.count() if rows is None else rows
     buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
     values = _heavy_values(texts, plan, rows, heavy, sample)
-    blocks = texts.select("key.k1", "key.k2", "t").mapInArrow(_pack(plan, buckets, values), "bucket int, block binary")
+    blocks = texts.select("key.k1", "key.k2", "t").mapInArrow(_pack(plan, _even_keys(texts.sparkSession, buckets), values), "bucket int, block binary")
     if len(values):
         blocks = Shelf(texts.sparkSession, "bands").put(blocks)
     # so many tasks as buckets: a task's share doesn't grow with the data
@@ -412,7 +430,7 @@ def similar_texts(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, t) for rows whose id isn't null and whose text has a letter or digit."""
     t = df.select(F.col(id_col).alias("id"), normalized(F.col(text_col)).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    return t.select("id", F.struct(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")).alias("key"), "t")
+    return t.select("id", F.struct(F.xxhash64("t").alias("k1"), F.hash(F.lit(1), "t").alias("k2")).alias("key"), "t")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text", plan: Plan = Plan(), **how) -> DataFrame:
