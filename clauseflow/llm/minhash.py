@@ -322,8 +322,11 @@ def _compare_blocks(plan: Plan):
     return run
 
 
-def _heavy_values(texts: DataFrame, plan: Plan, rows: int, heavy: int, sample: int) -> np.ndarray:
-    """Band values that, by a sample of about `sample` texts, more than `heavy` texts share; at most sample * bands / 4 of them."""
+def _heavy_values(texts: DataFrame, plan: Plan, rows: int, heavy: int, sample: int, thinned=None) -> np.ndarray:
+    """Band values that, by a sample of about `sample` texts, more than `heavy` texts share; at most sample * bands / 4 of them.
+
+    thinned: gives a share of `texts` where that can be taken before texts are made.
+    """
     if rows <= heavy:
         return np.empty(0, np.uint64)
     share = min(1.0, sample / rows)
@@ -334,20 +337,20 @@ def _heavy_values(texts: DataFrame, plan: Plan, rows: int, heavy: int, sample: i
                 text, long, sig = _all_signatures(batch.column("t").to_pylist(), plan)
                 yield pa.RecordBatch.from_arrays([pa.array(_bands(sig, long, plan).ravel().view(np.int64))], names=["h"])
 
-    some = texts.select("t") if share == 1.0 else texts.select("t").sample(fraction=share, seed=1)
+    some = texts.select("t") if share == 1.0 else thinned(share).select("t") if thinned else texts.select("t").sample(fraction=share, seed=1)
     counts = some.distinct().mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
     found = counts.filter(F.col("n") > max(4, heavy * share)).select("h").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None, heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
+def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = None, heavy: int = HEAVY, sample: int = SAMPLE, thinned=None) -> DataFrame:
     """texts: (key STRUCT<k1: BIGINT, k2: INT>, t STRING), equal texts under one key. Gives (a1, a2, b1, b2): pairs of keys worth verifying.
 
     rows: about how many texts there are, where a count is at hand; it only sets the number of buckets.
     """
     rows = texts.count() if rows is None else rows
     buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
-    values = _heavy_values(texts, plan, rows, heavy, sample)
+    values = _heavy_values(texts, plan, rows, heavy, sample, thinned)
     blocks = texts.select("key.k1", "key.k2", "t").mapInArrow(_pack(plan, _even_keys(texts.sparkSession, buckets), values), "bucket int, block binary")
     if len(values):
         blocks = Shelf(texts.sparkSession, "bands").put(blocks)
@@ -440,7 +443,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "tex
     a text shorter than n characters is its own only n-gram; texts are compared whole, however long.
     """
     rows = keyed(df, id_col, text_col)
-    similar = similar_texts(rows.select("key", "t"), plan, df.count(), **how)
+    similar = similar_texts(rows.select("key", "t"), plan, df.count(), thinned=lambda share: keyed(df.sample(fraction=share, seed=1), id_col, text_col), **how)
     member = rows.select("key.k1", "key.k2", "id").distinct()
     same = member.join(member.select("k1", "k2", F.col("id").alias("id2")), ["k1", "k2"]).filter("id < id2").select(F.col("id").alias("function_a"), F.col("id2").alias("function_b"))
     a = member.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("id").alias("x"))
@@ -458,7 +461,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "id", text_col: str = "te
     rows = keyed(df, id_col, text_col)
     shelf = Shelf(df.sparkSession, "near-groups")
     node = lambda x: F.struct(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"))
-    links = shelf.put(similar_texts(rows.select("key", "t"), plan, df.count()).select(node("a").alias("a"), node("b").alias("b")))
+    links = shelf.put(similar_texts(rows.select("key", "t"), plan, df.count(), thinned=lambda share: keyed(df.sample(fraction=share, seed=1), id_col, text_col)).select(node("a").alias("a"), node("b").alias("b")))
     labels = propagate_min(links.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf)
     n = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     of_key = labels.select(F.col("node").alias("key"), "label").join(n, "key").select("key.*", "label", "n_links")
