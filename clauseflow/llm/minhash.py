@@ -6,8 +6,8 @@ minimum over the text's slots of that table shifted circularly by k. All coordin
 are thus one contiguous slice of the table, and a signature is the running minimum of such slices.
 
 Bands of `rows` coordinates are hashed. What moves between executors is, for each batch of texts
-and bucket of hashes, one packed block: the keys and one-bit sketches of its texts once, then (hash,
-text) pairs. Within a bucket, texts that share a band are compared by their sketches, and only pairs
+and bucket of hashes, one packed block: the keys and one-bit sketches of its texts once, then their
+hashes. Within a bucket, texts that share a band are compared by their sketches, and only pairs
 that may reach the limit leave it; those are verified on the whole texts by exact Jaccard. Equal
 texts share a key of 96 bits and count once throughout, however many rows have them.
 
@@ -40,7 +40,7 @@ SAMPLE = 8_000
 #: Records of bands that one bucket holds on average; the number of buckets follows the number of rows.
 BUCKET_RECORDS = 3_000_000
 #: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
-HASH_BITS = 28
+HASH_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -155,17 +155,6 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def _gaps(low: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes as 16-bit differences; longer ones are bridged by records of no text (row 0xFFFF)."""
-    gap = np.diff(low.astype(np.int64), prepend=0)
-    bridge = gap // 0xFFFF
-    at = np.cumsum(bridge + 1) - 1
-    gaps, rows = np.full(int(bridge.sum()) + len(low), 0xFFFF, np.uint16), np.full(int(bridge.sum()) + len(low), 0xFFFF, np.uint16)
-    gaps[at] = gap % 0xFFFF
-    rows[at] = row
-    return gaps, rows
-
-
 _KEY = np.dtype([("k1", "<i8"), ("k2", "<i4")])
 
 
@@ -215,37 +204,38 @@ def _pack(plan: Plan, buckets: np.ndarray, heavy: np.ndarray):
                     for v in np.unique(place[hit]).tolist():
                         r = np.unique(row[hit & (place == v)]).astype(np.int64)
                         ids.append(-1 - v)
-                        blocks.append(b"".join(y.tobytes() for y in (np.array([len(r), 0], np.int64), key[r], sketch[r])))
+                        blocks.append(_block(key[r], sketch[r], np.zeros(len(r), np.int64), np.empty(0, np.uint64)))
                     h, row = h[~hit], row[~hit]
                 bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 low = h & np.uint64((1 << HASH_BITS) - 1)
-                rec = np.sort((bucket << np.uint64(HASH_BITS + 14)) | (low << np.uint64(14)) | row)
-                cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 14))
-                low = (rec >> np.uint64(14)) & np.uint64((1 << HASH_BITS) - 1)
-                row = (rec & np.uint64((1 << 14) - 1)).astype(np.int64)
+                rec = np.sort((bucket << np.uint64(HASH_BITS + 15)) | (row << np.uint64(HASH_BITS)) | low)
+                cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 15))
+                row = ((rec >> np.uint64(HASH_BITS)) & np.uint64((1 << 15) - 1)).astype(np.int64)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    r, x = row[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]]
-                    there = np.zeros(len(text), bool)
-                    there[r] = True
-                    gaps, r = _gaps(x, (np.cumsum(there) - 1)[r])
-                    head = np.array([there.sum(), len(r)], np.int64)
+                    there, count = np.unique(row[cuts[b] : cuts[b + 1]], return_counts=True)
                     ids.append(names[b])
-                    blocks.append(b"".join(y.tobytes() for y in (head, key[there], sketch[there], gaps, r)))
+                    blocks.append(_block(key[there], sketch[there], count, rec[cuts[b] : cuts[b + 1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
 
 
-def _unpack(block: bytes, words: int):
-    n, m = np.frombuffer(block, np.int64, 2)
-    at = 16
+def _block(key: np.ndarray, sketch: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Keys, sketches and numbers of hashes of some texts, then the hashes one text after another, the lower 24 bits of each in three bytes."""
+    low = np.ascontiguousarray(hashes.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+    return b"".join(x.tobytes() for x in (np.array([len(key)], np.int64), key, sketch, count.astype(np.uint16), low))
+
+
+def _unpack(block: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sketches, hashes, place of each hash's text)."""
+    n, at = int(np.frombuffer(block, np.int64, 1)[0]), 8
     key = np.frombuffer(block, _KEY, n, at)
     at += _KEY.itemsize * n
     sketch = np.frombuffer(block, np.uint64, n * words, at).reshape(n, words)
     at += 8 * n * words
-    low, row = np.cumsum(np.frombuffer(block, np.uint16, m, at), dtype=np.uint64), np.frombuffer(block, np.uint16, m, at + 2 * m)
-    real = row != 0xFFFF
-    return key, sketch, low[real], row[real]
+    count = np.frombuffer(block, np.uint16, n, at).astype(np.int64)
+    low = np.frombuffer(block, np.uint8, 3 * int(count.sum()), at + 2 * n).reshape(-1, 3).astype(np.uint64)
+    return key, sketch, low[:, 0] | low[:, 1] << np.uint64(8) | low[:, 2] << np.uint64(16), np.repeat(np.arange(n), count)
 
 
 _PAIR = "a1 long, a2 int, b1 long, b2 int"

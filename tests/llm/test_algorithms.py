@@ -102,12 +102,16 @@ def test_jaccard_is_exact():
     assert np.allclose(got, want)
 
 
-def test_blocks_survive_packing():
-    low, row = np.array([5, 5, 70000, 4_000_000], np.uint64), np.array([0, 3, 1, 2])
-    gaps, rows = minhash._gaps(low, row)
-    back = np.cumsum(gaps, dtype=np.uint64)
-    real = rows != 0xFFFF
-    assert back[real].tolist() == low.tolist() and rows[real].tolist() == row.tolist()
+def test_blocks_come_back_whole():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        key = np.empty(n, minhash._KEY)
+        key["k1"], key["k2"] = r.integers(-(2**62), 2**62, n), r.integers(-(2**31), 2**31 - 1, n)
+        sketch, count = r.integers(0, 2**63, (n, 4)).astype(np.uint64), r.integers(0, 90, n)
+        hashes = r.integers(0, 2**63, int(count.sum())).astype(np.uint64)
+        k, s, h, row = minhash._unpack(minhash._block(key, sketch, count, hashes), 4)
+        assert np.array_equal(k, key) and np.array_equal(s, sketch) and np.array_equal(row, np.repeat(np.arange(n), count))
+        assert np.array_equal(h, hashes & np.uint64((1 << minhash.HASH_BITS) - 1))
 
 
 # ---- groups of matches
