@@ -127,3 +127,23 @@ ORACLE = {
             len(i.a) > 0 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.a, ' ') || ' ') AS answer_found
         FROM longest JOIN share USING (doc_id, item_id) JOIN best USING (doc_id, item_id) JOIN d USING (doc_id) JOIN i USING (item_id)""",
 }
+
+# look-alikes as people see them: full width as plain, Latin and Greek letters as the Russian ones of the same shape, hyphens as one
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _form(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace({x}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}]', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+    return f"nfc_normalize(translate(translate({bare}, '{_WIDE}', '{_PLAIN}'), 'ABCEHIJKMOPSTXYaceijopsxyΑΒΕΗΙΚΜΟΡΤΥΧο‐‑⁃˗−﹣', 'АВСЕНІЈКМОРЅТХУасеіјорѕхуАВЕНІКМОРТУХо------'))"
+
+
+ORACLE |= {
+    "p2_groups": ORACLE["p2_found"].replace("WITH f AS", "WITH RECURSIVE f AS").split("r AS (SELECT x.id AS i")[0]
+    + """s AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), walk(k, low) AS (SELECT k, k FROM d UNION SELECT s.v, walk.low FROM walk JOIN s ON s.u = walk.k WHERE walk.low < s.v),
+        lab AS (SELECT k, min(low) AS low FROM walk GROUP BY k), gi AS (SELECT low, min(id) AS gid FROM m JOIN lab USING (k) GROUP BY low), nl AS (SELECT u AS k, count(*) AS n FROM s GROUP BY u)
+        SELECT i.id AS function_id, coalesce(min(gid), i.id) AS group_id, coalesce(max(nl.n), 0) AS n_links FROM (SELECT DISTINCT id FROM org_functions WHERE id IS NOT NULL) i LEFT JOIN m ON m.id = i.id LEFT JOIN lab ON lab.k = m.k LEFT JOIN gi ON gi.low = lab.low LEFT JOIN nl ON nl.k = m.k GROUP BY i.id""",
+    "p5_found": f"""WITH q AS (SELECT DISTINCT citation_id, clause_id, quote FROM citations WHERE quote IS NOT NULL), t AS (SELECT DISTINCT id, text FROM clauses WHERE text IS NOT NULL)
+        SELECT DISTINCT citation_id FROM q JOIN t ON t.id = q.clause_id WHERE NOT contains(text, quote) AND contains({_form('text')}, {_form('quote')})""",
+    "p5_clauses": f"SELECT id, {_form('text')} AS canonical, {_form('text')} <> text AS changed FROM (SELECT DISTINCT id, text FROM clauses)",
+}
