@@ -68,6 +68,7 @@ DECISIONS = {
     "finding_explanations": f"WITH {_Q}, x AS (SELECT DISTINCT citation_id, owner_id, quote FROM q WHERE owner_kind = 'function' AND quote IS NOT NULL) SELECT f.id, category || ': ' || string_agg('«' || quote || '»', '; ' ORDER BY citation_id, quote) AS explanation FROM (SELECT DISTINCT id, category FROM org_functions) f JOIN x ON x.owner_id = f.id GROUP BY f.id, category",
     "abbreviation_sets": f"SELECT id, array_to_string(list_sort(a), ' ') AS abbreviations FROM (SELECT DISTINCT id, {_upper_words('name')} AS a FROM units) WHERE len(a) > 0",
     "abbreviation_hits": f"WITH {_U}, {_ABBR}, e AS (SELECT DISTINCT executor AS t, unnest({_upper_words('executor')}) AS w FROM org_functions WHERE executor IS NOT NULL) SELECT t AS text_id, count(DISTINCT unit_id) AS n_units FROM e JOIN ab ON replace(lower(abbr), 'ё', 'е') = w GROUP BY 1",
+    "merged_units": f"WITH {_U}, {_ONE} SELECT DISTINCT id, version, unit_id FROM of",
     "unique_roots": f"WITH {_U} SELECT version, CASE WHEN count(DISTINCT (id, coalesce(trim(parent), ''))) FILTER (coalesce(trim(parent), '') = '') = 1 THEN min(id) FILTER (coalesce(trim(parent), '') = '') END AS root_id FROM u GROUP BY version",
     "structure_scope": f"WITH h AS (SELECT DISTINCT doc_id, id, section_path, len(list_filter(section_path, lambda p: starts_with(p, '3.') OR contains(lower(p), 'структур'))) > 0 AS hit FROM clauses), w AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS sm FROM h) SELECT doc_id, count(*) AS n_clauses FROM w WHERE hit OR NOT sm GROUP BY 1",
     "sees_prohibition": f"SELECT id, bool_or(coalesce({_modality('text')}, '') = 'prohibition' OR coalesce({_lead_modality('lead_in')}, '') = 'prohibition') AS seen FROM clauses GROUP BY id",

@@ -147,6 +147,12 @@ def unit_enrichment(spark, d):
     return mentions.enriched_units(_named(spark, d), found).groupBy("unit_id").agg(F.count("*").alias("n_texts"))
 
 
+@query
+def merged_units(spark, d):
+    """Units of a version that are one by name, under the smallest id."""
+    return units.merged_units(unit_rows(spark, d))
+
+
 @query
 def unique_roots(spark, d):
     return mentions.unique_roots(unit_rows(spark, d))
