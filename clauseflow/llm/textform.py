@@ -112,6 +112,17 @@ def _canonical(text: pd.Series) -> pd.Series:
     return text.map(canonical_text, na_action="ignore")
 
 
+@F.pandas_udf(T.BooleanType())
+def _looks_contained(quote: pd.Series, text: pd.Series) -> pd.Series:
+    # pairs come sorted by clause: each clause is brought to its form once, not once a citation
+    known, form, out = None, "", []
+    for q, t in zip(quote, text):
+        if t != known:
+            known, form = t, canonical_text(t)
+        out.append(canonical_text(q) in form)
+    return pd.Series(out, dtype="boolean")
+
+
 def _letters(text) -> Column:
     return F.translate(text, _FROM, _TO)
 
@@ -139,10 +150,6 @@ def lookalike_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
     c = citations.select("citation_id", F.col("clause_id").alias("id"), "quote").filter("quote IS NOT NULL AND id IS NOT NULL")
     t = clauses.select("id", "text").filter("id IS NOT NULL AND text IS NOT NULL")
 
-    def formed(df: DataFrame, col: str) -> DataFrame:  # the form only where the JVM can't make it again after the join
-        plain = df.filter(~_odd(F.col(col))).withColumn(f"{col}_form", F.lit(None).cast("string"))
-        return plain.unionByName(df.filter(_odd(F.col(col))).withColumn(f"{col}_form", _canonical(F.col(col))))
-
-    both = formed(c, "quote").join(formed(t, "text"), "id").filter(~F.contains("text", "quote"))
-    form = lambda col: F.coalesce(F.col(f"{col}_form"), _letters(F.col(col)))
-    return both.filter(F.contains(form("text"), form("quote"))).select("citation_id").distinct()
+    # most quotes are contained as written: only the rest of the pairs are looked at
+    both = c.join(t, "id").filter(~F.contains("text", "quote"))
+    return both.filter(_looks_contained("quote", "text")).select("citation_id").distinct()
