@@ -58,6 +58,7 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        spark.__dict__.setdefault("_clauseflow_shelves", []).append(self.base)
         self.n = 0
         self.paths: dict[int, str] = {}
 
@@ -86,3 +87,14 @@ class Shelf:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+
+
+def clear_shelves(spark: SparkSession) -> int:
+    """Deletes all tables that this session's operators have written between their steps, and tells how many shelves went. For use once results
+    are written: a result that is still lazy reads these tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    bases = spark.__dict__.pop("_clauseflow_shelves", [])
+    for base in bases:
+        path = jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(conf).delete(path, True)
+    return len(bases)

@@ -162,6 +162,18 @@ def test_steps(spark):
         within(spark, 0.5, lambda: __import__("time").sleep(5))
 
 
+def test_shelves_are_cleared(spark):
+    from pathlib import Path
+
+    from clauseflow.session import Shelf, clear_shelves
+
+    shelf = Shelf(spark, "clear")
+    df, seen = shelf.put_seen(spark.range(5), n=F.count(F.lit(1)), low=F.min("id"))
+    at = Path(df._shelf_path.removeprefix("file://"))
+    assert seen == {"n": 5, "low": 0} and at.exists()
+    assert clear_shelves(spark) >= 1 and not at.exists() and clear_shelves(spark) == 0
+
+
 def test_parents_by_name(spark):
     df = spark.createDataFrame([("u1", "before", "Отдел закупок", "Департамент финансов"), ("u2", "before", "Департамент финансов (ДФ)", None), ("u3", "after", "Департамент финансов", None)], "id string, version string, name string, up string")
     assert rows(units.parents_by_name(df, "up")) == {("u1", "u2"), ("u2", None), ("u3", None)}
