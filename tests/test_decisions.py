@@ -162,6 +162,15 @@ def test_steps(spark):
         within(spark, 0.5, lambda: __import__("time").sleep(5))
 
 
+def test_numbers_run_over_ranges(spark):
+    from clauseflow.operators import report
+
+    df = spark.range(500).select(F.when(F.col("id") % 3 == 0, "units").otherwise("lost").alias("category"), F.format_string("%03d", F.col("id")).alias("key")).repartition(7)
+    got = sorted(((r.category != "units", r.key), int(r.ref[1:])) for r in report.numbered(df, ["units", "lost"], ["key"]).collect())
+    assert [n for _, n in got] == list(range(1, 501))
+    assert report.numbered(df.limit(0), ["units"], ["key"]).count() == 0
+
+
 def test_shelves_are_cleared(spark):
     from pathlib import Path
 
