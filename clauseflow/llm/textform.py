@@ -5,8 +5,8 @@ database: a character is unstable if it isn't its own form (NFC quick check "no"
 look-alike), or may join the one before it ("maybe": it stands second in a composition, or is a combining mark). Only those segments,
 each with the one character before it that a mark could join, are rewritten; the rest of the text is spliced back as it was.
 
-Texts in which single letters are the only thing to change (all plain English ones) are translated inside the JVM; only texts with other
-unstable characters go to Python, each once.
+`canonicalize` translates texts in which single letters are the only thing to change (all plain English ones) inside the JVM. Of quotes,
+only those not contained as written go to Python.
 
 Case, ё and е, and everything else that is seen, stay different.
 """
