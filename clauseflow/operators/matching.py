@@ -16,20 +16,18 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], order:
     return rows.join(last, keys, "left").withColumn("answered", F.col(answer).isNotNull())
 
 
-def running_total(df: DataFrame, order: str, tie: str, demand: str, buckets: int = 256) -> DataFrame:
+def running_total(df: DataFrame, order: str, tie: str, demand: str) -> DataFrame:
     """df with `before`, the sum of `demand` over all rows ahead in (order, tie).
 
-    One global order without one task for all rows: ranges of the order key get their sums first, ranges
-    are then totalled (a table of `buckets` rows), and rows are only summed within their range. Null order keys come first.
+    One global order without one task for all rows: rows are spread by ranges of (order, tie), as many as the session's shuffles have, and
+    written; ranges are totalled (a row each), and rows are only summed within their range. Null order keys come first.
     """
-    cuts = df.select(F.percentile_approx(F.col(order).cast("double"), F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000))).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.coalesce(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order).cast("double"))), F.lit(0))
-    rows = df.withColumn("_b", F.when(F.col(order).isNull(), -1).otherwise(at))
+    key = [F.asc_nulls_first(order), F.asc(tie)]
+    rows = Shelf(df.sparkSession, "running").put(df.repartitionByRange(*key).withColumn("_b", F.spark_partition_id()))
     sums = rows.groupBy("_b").agg(F.sum(demand).alias("_s"))
     ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    within = Window.partitionBy("_b").orderBy(F.asc_nulls_first(order), tie).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(ahead), "_b").withColumn("before", F.col("_ahead") + F.coalesce(F.sum(demand).over(within), F.lit(0))).drop("_b", "_ahead")  # at most `buckets` + 1 rows
+    within = Window.partitionBy("_b").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(F.broadcast(ahead), "_b").withColumn("before", F.col("_ahead") + F.coalesce(F.sum(demand).over(within), F.lit(0))).drop("_b", "_ahead")  # one row a range
 
 
 def call_budget(df: DataFrame, order: str, tie: str, demand: str, limit: int) -> DataFrame:

@@ -59,12 +59,14 @@ def bm25_top(queries: DataFrame, query_id: str, query_tokens: Column, index: Dat
     return top(scores, k, [F.desc("score"), F.asc("id")])
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = POOL, blocks: int = 64) -> DataFrame:
+def cosine_top(queries: DataFrame, corpus: DataFrame, k: int = POOL, blocks: int | None = None) -> DataFrame:
     """(query, id, cosine, rank): a stated set of query vectors against all rows, both (id, vector).
 
-    The corpus falls into `blocks`, and each block meets all queries: no task holds all rows, and what leaves a block is its own first k
-    of each query. Vectors of another dimension match nothing.
+    The corpus falls into blocks, by default of about CORPUS_BLOCK rows and at least as many as shuffles have parts; each block meets all queries: no
+    task holds all rows, and what leaves a block is its own first k of each query. Vectors of another dimension match nothing.
     """
+    if blocks is None:
+        blocks = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_BLOCK))
     q = queries.select(F.col("id").alias("query"), F.col("vector").alias("qv"), T.l2("vector").alias("qn"), F.size("vector").alias("dim")).filter("query IS NOT NULL AND qv IS NOT NULL")
     q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     c = corpus.select("id", "vector", T.l2("vector").alias("n"), F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).filter("id IS NOT NULL AND vector IS NOT NULL")

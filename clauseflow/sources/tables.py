@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,3 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     cores = spark.sparkContext.defaultParallelism
     parts = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(max(cores, parts))
+
+
+def document_pair(spark: SparkSession, sf_dir: str, kind: str = "polozhenie") -> tuple[DataFrame, DataFrame]:
+    """The clauses of all regulations of a kind, 'before' and 'after': a fixed input to try a comparison on."""
+    docs = table(spark, sf_dir, "regulations").filter(F.col("kind") == kind).select(F.col("id").alias("doc_id"), "version")
+    clauses = table(spark, sf_dir, "clauses").drop("loaded_at").distinct().join(docs, "doc_id")
+    return clauses.filter("version = 'before'"), clauses.filter("version = 'after'")

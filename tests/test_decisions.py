@@ -171,6 +171,15 @@ def test_numbers_run_over_ranges(spark):
     assert report.numbered(df.limit(0), ["units"], ["key"]).count() == 0
 
 
+def test_document_pair(spark):
+    import os
+
+    from clauseflow.sources.tables import document_pair
+
+    before, after = document_pair(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    assert before.count() > 0 and after.count() > 0 and before.join(after, "doc_id").count() == 0
+
+
 def test_shelves_are_cleared(spark):
     from pathlib import Path
 
