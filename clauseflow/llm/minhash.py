@@ -14,10 +14,14 @@ texts share a key of 96 bits and count once throughout, however many rows have t
 A band that very many different texts share (a boilerplate) would make one bucket quadratic. A bounded sample shows which values
 these are; their texts travel in blocks of their own, and every two blocks are compared in a task of their own. The
 sample decides only where texts are compared, never whether.
+
+With many buckets a text would travel with almost every one of its bands. Beyond ROUND_TEXTS texts, keys, sketches and hashes are therefore
+written once, and a few bands travel at a time; what a round has shuffled is deleted before the next. A bucket then holds a bounded number of texts.
 """
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,6 +45,14 @@ SAMPLE = 8_000
 BUCKET_RECORDS = 3_000_000
 #: Bits of a band's hash that are kept inside a bucket; a chance agreement costs one comparison.
 HASH_BITS = 24
+#: Up to so many texts all bands travel at once, beyond it ROUND_BANDS at a time.
+ROUND_TEXTS = 400_000
+ROUND_BANDS = 5
+#: Texts that one bucket of a round holds on average, some 20 MB; texts of a block of a heavy value.
+BUCKET_TEXTS = 400_000
+HEAVY_BLOCK = 8_192
+#: Stands for the hash of a band whose value is heavy.
+GONE = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -178,20 +190,33 @@ def _even_keys(spark: SparkSession, n: int) -> np.ndarray:
         room *= 4
 
 
+def _by_bucket(key: np.ndarray, sketch: np.ndarray, high: np.ndarray, low: np.ndarray, row: np.ndarray, buckets: int):
+    """(bucket, block) of the bands of some texts: `high`, of 32 bits, says the bucket, the lower bits of `low` are kept in it; row: the place of a band's text."""
+    bucket = (high * np.uint64(buckets)) >> np.uint64(32)
+    rec = np.sort((bucket << np.uint64(HASH_BITS + 15)) | (row << np.uint64(HASH_BITS)) | (low & np.uint64((1 << HASH_BITS) - 1)))
+    cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 15))
+    row = ((rec >> np.uint64(HASH_BITS)) & np.uint64((1 << 15) - 1)).astype(np.int64)
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        there, count = np.unique(row[cuts[b] : cuts[b + 1]], return_counts=True)
+        yield b, _block(key[there], sketch[there], count, rec[cuts[b] : cuts[b + 1]])
+
+
+def _parts(batch: pa.RecordBatch):
+    """(k1, k2, texts) of the distinct texts of a batch, at most 8,192 at a time."""
+    k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("t")
+    first = np.sort(_first_of(k1, k2))
+    for at in range(0, len(first), 1 << 13):
+        part = first[at : at + (1 << 13)]
+        yield k1[part], k2[part], texts.take(pa.array(part)).to_pylist()
+
+
 def _pack(plan: Plan, buckets: np.ndarray, heavy: np.ndarray):
     """Blocks of (bucket, hashes); a block of one heavy value has the bucket -1 - its place."""
     names, buckets = buckets.tolist(), len(buckets)
 
-    def parts(batch):
-        k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("t")
-        first = np.sort(_first_of(k1, k2))
-        for at in range(0, len(first), 1 << 13):
-            part = first[at : at + (1 << 13)]
-            yield k1[part], k2[part], texts.take(pa.array(part)).to_pylist()
-
     def run(batches):
         for batch in batches:
-            for k1, k2, texts in parts(batch):
+            for k1, k2, texts in _parts(batch):
                 text, long, sig = _all_signatures(texts, plan)
                 key, sketch, h = np.empty(len(text), _KEY), _sketch(sig, plan), _bands(sig, long, plan)
                 key["k1"], key["k2"] = k1[text], k2[text]
@@ -206,20 +231,63 @@ def _pack(plan: Plan, buckets: np.ndarray, heavy: np.ndarray):
                         ids.append(-1 - v)
                         blocks.append(_block(key[r], sketch[r], np.zeros(len(r), np.int64), np.empty(0, np.uint64)))
                     h, row = h[~hit], row[~hit]
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                low = h & np.uint64((1 << HASH_BITS) - 1)
-                rec = np.sort((bucket << np.uint64(HASH_BITS + 15)) | (row << np.uint64(HASH_BITS)) | low)
-                cuts = np.searchsorted(rec, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(HASH_BITS + 15))
-                row = ((rec >> np.uint64(HASH_BITS)) & np.uint64((1 << 15) - 1)).astype(np.int64)
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    there, count = np.unique(row[cuts[b] : cuts[b + 1]], return_counts=True)
+                for b, block in _by_bucket(key, sketch, h >> np.uint64(32), h, row, buckets):
                     ids.append(names[b])
-                    blocks.append(_block(key[there], sketch[there], count, rec[cuts[b] : cuts[b + 1]]))
+                    blocks.append(block)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
 
 
+def _sign(plan: Plan, heavy: np.ndarray):
+    """Each text's key, sketch, the places of the heavy values that it has, and 32 bits of each band's hash, a column a round."""
+    cuts = range(0, plan.bands, ROUND_BANDS)
+
+    def run(batches):
+        for batch in batches:
+            for k1, k2, texts in _parts(batch):
+                text, long, sig = _all_signatures(texts, plan)
+                h, sketch = _bands(sig, long, plan), _sketch(sig, plan)
+                w = np.minimum(h >> np.uint64(32), np.uint64(GONE - 1)).astype("<u4")
+                own: list[list[int] | None] = [None] * len(text)
+                if len(heavy):
+                    place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    hit = heavy[place] == h
+                    w[hit] = GONE
+                    for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                        own[r] = np.unique(place[r][hit[r]]).tolist()
+                as_bytes = lambda x: pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+                columns = [pa.array(k1[text]), pa.array(k2[text]), as_bytes(sketch), pa.array(own, pa.list_(pa.int32())), *(as_bytes(w[:, c : c + ROUND_BANDS]) for c in cuts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "s", "heavy", *(f"h{r}" for r in range(len(cuts)))])
+
+    return run
+
+
+def _keys_and_sketches(batch: pa.RecordBatch | pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    key = np.empty(batch.num_rows, _KEY)
+    key["k1"], key["k2"] = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+    return key, np.frombuffer(b"".join(batch.column("s").to_pylist()), np.uint64).reshape(-1, plan.sketch_words)
+
+
+def _pack_round(plan: Plan, buckets: np.ndarray):
+    """`_pack` for the hashes of one round."""
+    names, buckets = buckets.tolist(), len(buckets)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                key, sketch = _keys_and_sketches(part, plan)
+                h = np.frombuffer(b"".join(part.column("h").to_pylist()), "<u4").reshape(len(key), -1)
+                row = np.repeat(np.arange(len(key), dtype=np.uint64), h.shape[1])
+                h = h.ravel().astype(np.uint64)
+                light = h != GONE
+                found = list(_by_bucket(key, sketch, h[light], h[light], row[light], buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([names[b] for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "block"])
+
+    return run
+
+
 def _block(key: np.ndarray, sketch: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> bytes:
     """Keys, sketches and numbers of hashes of some texts, then the hashes one text after another, the lower 24 bits of each in three bytes."""
     low = np.ascontiguousarray(hashes.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
@@ -263,8 +331,9 @@ def _compare(plan: Plan):
             keys.append(k), sketches.append(s), hashes.append(x), docs.append(r.astype(np.int64) + base)
             base += len(k)
         key, sketch = np.concatenate(keys), np.concatenate(sketches)
-        order = np.lexsort((key["k2"], key["k1"]))  # a text that several batches have is one
-        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
+        order = np.argsort(np.ascontiguousarray(key["k1"]))  # a text that several batches have is one
+        k1, k2 = key["k1"][order], key["k2"][order]
+        new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
         back = np.empty(len(key), np.int64)
         back[order] = np.cumsum(new) - 1
         key, sketch = key[order[new]], sketch[order[new]]
@@ -339,21 +408,63 @@ def candidate_pairs(texts: DataFrame, plan: Plan = Plan(), rows: int | None = No
     rows: about how many texts there are, where a count is at hand; it only sets the number of buckets.
     """
     rows = texts.count() if rows is None else rows
-    buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
     values = _heavy_values(texts, plan, rows, heavy, sample, thinned)
+    if rows > ROUND_TEXTS:
+        return _pairs_in_rounds(texts, plan, rows, values)
+    buckets = max(1, -(-rows * plan.bands // BUCKET_RECORDS))
     blocks = texts.select("key.k1", "key.k2", "t").mapInArrow(_pack(plan, _even_keys(texts.sparkSession, buckets), values), "bucket int, block binary")
     if len(values):
         blocks = Shelf(texts.sparkSession, "bands").put(blocks)
     # so many tasks as buckets: a task's share doesn't grow with the data
     light = blocks.filter("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare(plan), _PAIR)
     if len(values):
-        own = blocks.filter("bucket < 0").withColumn("i", F.xxhash64("block"))
-        tasks = own.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m + 1) div 2"))).first()[0] or 1
-        two = own.select("bucket", "i", F.col("block").alias("x")).join(own.select("bucket", F.col("i").alias("j"), F.col("block").alias("y")), "bucket").filter("i <= j")
-        light = light.unionByName(two.select("x", "y").repartition(min(int(tasks), 20_000)).mapInArrow(_compare_blocks(plan), _PAIR))
+        light = light.unionByName(_heavy_pairs(blocks.filter("bucket < 0").withColumn("i", F.xxhash64("block")), plan))
     return light.distinct()
 
 
+def _heavy_pairs(own: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of texts that share a heavy value; own: (bucket, i, block), i tells the blocks of a value apart."""
+    tasks = own.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m + 1) div 2"))).first()[0] or 1
+    two = own.select("bucket", "i", F.col("block").alias("x")).join(own.select("bucket", F.col("i").alias("j"), F.col("block").alias("y")), "bucket").filter("i <= j")
+    return two.select("x", "y").repartition(min(int(tasks), 20_000)).mapInArrow(_compare_blocks(plan), _PAIR)
+
+
+def _pairs_in_rounds(texts: DataFrame, plan: Plan, rows: int, values: np.ndarray) -> DataFrame:
+    """`candidate_pairs` for many texts: what a text takes on disk and what a bucket holds don't grow with their number."""
+    spark = texts.sparkSession
+    shelf = Shelf(spark, "bands")
+    rounds = len(range(0, plan.bands, ROUND_BANDS))
+    schema = "k1 long, k2 int, s binary, heavy array<int>, " + ", ".join(f"h{r} binary" for r in range(rounds))
+    signed = shelf.put(texts.select("key.k1", "key.k2", "t").mapInArrow(_sign(plan, values), schema))
+    names = _even_keys(spark, max(1, -(-rows * min(ROUND_BANDS, plan.bands) // BUCKET_TEXTS)))
+    found = None
+    for r in range(rounds):
+        blocks = signed.select("k1", "k2", "s", F.col(f"h{r}").alias("h")).mapInArrow(_pack_round(plan, names), "bucket int, block binary")
+        part = shelf.put(blocks.repartition(len(names), "bucket").groupBy("bucket").applyInArrow(_compare(plan), _PAIR).distinct())
+        found = part if found is None else found.unionByName(part)
+        del blocks
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # shuffle files go once the driver has no plan left that reads them
+    if len(values):
+        own = shelf.put(signed.filter("heavy IS NOT NULL").select(F.explode("heavy").alias("bucket"), "k1", "k2", "s").distinct())
+        n = own.groupBy("bucket").agg(F.ceil(F.count("*") / HEAVY_BLOCK).alias("n"))
+        own_blocks = shelf.put(own.join(n, "bucket").withColumn("i", F.pmod(F.xxhash64("k1", "k2"), "n")).groupBy("bucket", "i").applyInArrow(_heavy_block(plan), "bucket int, i long, block binary"))
+        shelf.drop(own)
+        found = found.unionByName(shelf.put(_heavy_pairs(own_blocks, plan).distinct()))
+        shelf.drop(own_blocks)
+    shelf.drop(signed)
+    return found.distinct()
+
+
+def _heavy_block(plan: Plan):
+    def run(table: pa.Table) -> pa.Table:
+        key, sketch = _keys_and_sketches(table, plan)
+        block = _block(key, sketch, np.zeros(len(key), np.int64), np.empty(0, np.uint64))
+        return pa.table({"bucket": table.column("bucket")[:1], "i": table.column("i")[:1], "block": pa.array([block], pa.binary())})
+
+    return run
+
+
 def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each text as numbers: all of them one after another, where each text's begin, and how many."""
     texts = [t if len(t) >= n else t.ljust(n, "\0") for t in texts]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clauseflow.llm import components, minhash, names
@@ -272,3 +273,27 @@ def test_long_texts_do_not_fill_all_slots():
         assert abs(same(x, y) - len(grams[x - 1] & grams[y - 1]) / len(grams[x - 1] | grams[y - 1])) < 0.12
     middle = "".join(chr(97 + k) for k in r.integers(0, 26, 6_500))
     assert minhash._all_signatures([middle], minhash.Plan())[1].tolist() == [False, True]
+
+
+def test_rounds_of_bands_find_the_same_pairs_with_bounded_buckets(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"слово{k}" for k in range(300)]
+    texts = [" ".join(r.choices(words, k=12)) for _ in range(60)]
+    texts += [t.rsplit(" ", k)[0] for t in texts for k in (1, 2)] + ["одно и то же начало каждого положения " + " ".join(r.choices(words, k=3)) for _ in range(90)] + texts[:5]
+    df = spark.createDataFrame([(f"f{k:03d}", t) for k, t in enumerate(texts)], "id string, text string")
+    key = minhash.keyed(df, "id", "text").select("key", "t")
+    found = lambda **how: {tuple(x) for x in minhash.similar_texts(key, rows=len(texts), **how).collect()}
+    at_once, heavy_at_once = found(), found(heavy=20, sample=100)
+    monkeypatch.setattr(minhash, "ROUND_TEXTS", 100)
+    monkeypatch.setattr(minhash, "BUCKET_TEXTS", 150)
+    monkeypatch.setattr(minhash, "HEAVY_BLOCK", 16)
+    assert len(at_once) > 100
+    assert found() == at_once == heavy_at_once == found(heavy=20, sample=100)
+
+    # a text takes a bounded number of bytes in a round, however many buckets there are
+    plan, n = minhash.Plan(), len(set(texts))
+    rows = pa.RecordBatch.from_pydict({"k1": pa.array(range(n), pa.int64()), "k2": pa.array([0] * n, pa.int32()), "t": sorted(set(texts))})
+    signed = pa.Table.from_batches(minhash._sign(plan, np.empty(0, np.uint64))([rows])).combine_chunks().to_batches()[0]
+    one = pa.RecordBatch.from_arrays([signed.column(c) for c in ("k1", "k2", "s", "h0")], names=["k1", "k2", "s", "h"])
+    moved = sum(len(b.as_py()) for x in minhash._pack_round(plan, np.arange(5000))([one]) for b in x.column("block"))
+    assert moved <= n * minhash.ROUND_BANDS * (8 + 12 + 32 + 2 + 3)
