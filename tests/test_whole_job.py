@@ -88,3 +88,17 @@ def test_dup_pairs_rank_every_function(spark):
     want = _sql(whole)
     got = QUERIES["dup_pairs_cross_unit"](spark, DATA).select(*want.columns)
     assert _rows(got) == sorted(tuple(map(str, x)) for x in want.fetchall())
+
+
+def test_rrf_topk_writes_no_row_a_pair(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    words = [f"слово{k}" for k in range(40)]
+    rows = [(f"{50 * k:08x}aaaa", f"u{k % 7}", v, "общее " + " ".join(r.choices(words, k=4)), "task", "duty", None, r.choice([None, "X|план", "Y|смета"])) for v in ("before", "after") for k in range(150)]
+    spark.createDataFrame(rows, "id string, unit_id string, version string, text string, category string, modality string, executor string, signature string").write.parquet(str(tmp_path / "org_functions.parquet"))
+    put, written = retrieval.Shelf.put, []
+    monkeypatch.setattr(retrieval.Shelf, "put", lambda self, df: (out := put(self, df), written.append(out.count()))[0])
+    got = QUERIES["rrf_topk"](spark, str(tmp_path))
+    assert got.count() == 150 * 5 and max(written) < 150 * 150 // 2
+    f = spark.read.parquet(str(tmp_path / "org_functions.parquet"))
+    want = retrieval.rank_candidates(f.filter("version = 'before'"), f.filter("version = 'after'"))
+    assert _rows(got.select("before_id", "after_id", "score", "reasons", "rank")) == _rows(want)
