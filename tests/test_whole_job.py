@@ -102,3 +102,22 @@ def test_rrf_topk_writes_no_row_a_pair(spark, tmp_path, monkeypatch):
     f = spark.read.parquet(str(tmp_path / "org_functions.parquet"))
     want = retrieval.rank_candidates(f.filter("version = 'before'"), f.filter("version = 'after'"))
     assert _rows(got.select("before_id", "after_id", "score", "reasons", "rank")) == _rows(want)
+
+
+def test_a_query_is_not_compared_with_every_row_of_a_block():
+    class Id(str):
+        seen = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Id.seen += 1
+            return str.__eq__(self, other)
+
+    n = 300
+    block = retrieval.pd.DataFrame({"unit": [f"u{k % 9}" for k in range(n)], "key": None, "sig": None, "mates": False, "terms": [retrieval.np.array([k % 11, 20]) for k in range(n)], "weights": [retrieval.np.array([1.0, 0.1])] * n})
+    ids = [f"{k:04d}" for k in range(n)]
+    corpus = block.assign(id=retrieval.pd.Series([Id(i) for i in ids], dtype=object))
+    queries = block.rename(columns={"unit": "query_unit"}).assign(query=retrieval.pd.Series(ids, dtype=object))
+    got = retrieval._block_pools(queries, corpus, 5, 20, True)
+    assert len(got) == 5 * n and not (got["query"] == got["id"].map(str)).any()
+    assert Id.seen < n * n // 2
